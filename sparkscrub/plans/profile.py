@@ -75,28 +75,34 @@ class Profile:
         """Counts of every column and, for text columns, how many values pass each content test."""
         if not self.columns:
             return {}
-        cells = unpivot(self.df, {c: (numbers.finite(col(c)) if self.is_numeric(c) else col(c)).cast("string")
-                                  if not self.is_text(c) else col(c) for c in self.columns})
-        textual = [c for c in self.columns if self.is_text(c)]
-        v, t = F.col("v"), F.col("t")
-        present = v.isNotNull()
-        content = F.col("columna").isin(*textual) if textual else F.lit(False)
-        cells = cells.withColumn("t", F.when(present & content, text.strip(v)))
-        staged = {
-            "data": ~text.is_null(v, self.tokens), "guided": numbers.guided_digits(t), "lenient": numbers.lenient_digits(t),
-            "number": v.rlike(V.NUMBER_RE), "stamp": dates.parse_date(t), "folded": text.fold(v),
-            "pending": text.pending_date(v), "digits": F.length(F.regexp_replace(t, r"\D", "")),
+        structs = []
+        for c in self.columns:
+            value = numbers.finite(col(c)) if isinstance(self.types[c], (T.DoubleType, T.FloatType)) else col(c)
+            own_text = col(c) if self.is_text(c) else F.lit(None).cast("string")
+            structs.append(F.struct(F.lit(c).alias("columna"), own_text.alias("v"), value.isNotNull().alias("present"),
+                                    F.when(value.isNotNull(), F.xxhash64(value)).alias("h")))
+        cells = self.df.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+        cells = cells.withColumn("t", text.strip("v")).withColumn("has_digit", F.col("t").rlike("[0-9]"))
+        v, t, present = F.col("v"), F.col("t"), F.col("present")
+        is_text, filled, has_digit = t.isNotNull(), t != "", F.col("has_digit")
+        weak = [c for c in names.columns_named(self.columns, V.DATE_WEAK_WORDS)]
+        named_weak = F.col("columna").isin(*weak) if weak else F.lit(False)
+        staged = {  # worked out once per cell; what needs a digit is skipped where there is none
+            "data": F.when(is_text, ~F.lower(t).isin(*self.tokens)).otherwise(present),
+            "guided": F.when(has_digit, numbers.guided_digits(t)), "lenient": F.when(has_digit, numbers.lenient_digits(t)),
+            "number": has_digit & t.rlike(V.NUMBER_RE), "stamp": F.when(has_digit, dates.parse_date(t)),
+            "pending": F.when(named_weak, text.pending_date(t)),
+            "digits": F.when(has_digit, F.length(F.regexp_replace(t, r"\D", ""))).otherwise(0),
         }
         for name, expression in staged.items():
             cells = cells.withColumn(name, expression)
-        filled, data, guided, lenient, number, digits = (t != "", *map(F.col, ("data", "guided", "lenient", "number", "digits")))
+        data, guided, lenient, number, digits = map(F.col, ("data", "guided", "lenient", "number", "digits"))
         readable, pending = F.col("stamp").isNotNull(), F.col("pending")
-        phone_base = F.col("t").isNotNull() & ~(
+        phone_base = is_text & ~(has_digit & (
             t.rlike(r"\b(?:19|20)\d{2}\b") | t.rlike(r"^-?[\d.,]*\d[.,]\d{1,2}$")
-            | t.rlike(r"^-\d{1,3}[.,]\d{3,}$|^\d{1,3}[.,]\d{5,}$"))
+            | t.rlike(r"^-\d{1,3}[.,]\d{3,}$|^\d{1,3}[.,]\d{5,}$")))
         g_dec, g_tho = numbers.comma_evidence(guided)
         l_dec, l_tho = numbers.comma_evidence(lenient)
-        is_text = t.isNotNull()
 
         def n(condition: Column) -> Column:
             return F.count_if(F.coalesce(condition, F.lit(False)))
@@ -105,16 +111,15 @@ class Profile:
             F.count(F.lit(1)).alias("n"),
             n(~present).alias("nulls"),
             n(present & ~data).alias("token_nulls"),
-            n(present & content & ~filled).alias("blanks"),
+            n(is_text & ~filled).alias("blanks"),
             n(data).alias("data"),
-            F.approx_count_distinct(F.when(F.coalesce(~content | filled, F.lit(False)), v), 0.02).alias("approx_distinct"),
-            F.approx_count_distinct(F.when(is_text & filled, F.col("folded")), 0.02).alias("approx_folded"),
+            F.approx_count_distinct(F.when(F.coalesce(~is_text | filled, F.lit(True)), F.col("h")), 0.02).alias("approx_distinct"),
             n(is_text & t.rlike(V.EMAIL_RE)).alias("email"),
             n(phone_base).alias("phone_base"),
             n(phone_base & digits.between(7, 15)).alias("phone"),
             n(is_text & number).alias("plain_number"),
             n(is_text & filled & number).alias("plain_filled"),
-            n(is_text & filled & v.rlike(V.NUMBER_START_RE)).alias("number_start"),
+            n(is_text & filled & has_digit & t.rlike(V.NUMBER_START_RE)).alias("number_start"),
             n(is_text & data & numbers.read_digits(guided, False).isNotNull()).alias("guided_number"),
             n(is_text & numbers.read_digits(lenient, False).isNotNull()).alias("lenient_number"),
             F.bool_or(g_dec).alias("g_dec"), F.bool_or(g_tho).alias("g_tho"),
