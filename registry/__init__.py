@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import det, fn  # noqa: F401
+from . import col, det, fn, joins  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401
 from .fixtures import dirty
 

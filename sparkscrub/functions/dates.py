@@ -42,7 +42,8 @@ def _stamp(y: Column, m: Column, d: Column, numbers: Column | None = None, clock
     def time_part(i: int) -> Column:
         return F.lit(0) if numbers is None else F.coalesce(F.when(clock, _part(numbers, i)), F.lit(0))
 
-    return F.try_make_timestamp_ntz(y, m, d, time_part(3), time_part(4), time_part(5).cast("decimal(16,6)"))
+    made = F.try_make_timestamp_ntz(y, m, d, time_part(3), time_part(4), time_part(5).cast("decimal(16,6)"))
+    return F.when(m.between(1, 12) & d.between(1, 31), made)  # the failed attempt itself is slow, so it is rare
 
 
 def _digits(t: Column) -> Column:

@@ -288,10 +288,10 @@ def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str
     is_null = text.is_null(numbers.finite(q(column)) if numeric else q(column), tokens)
     if rule in ("dejar", "eliminar_columna", "eliminar_fila"):
         return step
-    profile = Profile(df, [column], tokens)
-    if not any(profile.text[column][k] for k in ("nulls", "token_nulls")):
+    if not df.filter(is_null).limit(1).count():
         return {**step, "regla": "dejar"}
     if rule in ("mediana", "media", "mediana_por_grupo"):
+        profile = Profile(df, [column], tokens)
         number = profile.guided_number(column)
         data = F.when(~is_null, number)
         facts = number_facts(df, {column: data})[column]
@@ -301,7 +301,7 @@ def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str
         if not facts["n"]:
             raise ValueError(f"'{column}' no tiene ningún número para calcular la {rule}")
         places = min(max(facts["decimals"], 2), 6)
-        central = facts["mean"] if rule == "media" else column_quantiles(df, {column: data}, [0.5], profile.rows)[column][0]
+        central = facts["mean"] if rule == "media" else column_quantiles(df, {column: data}, [0.5], facts["rows"])[column][0]
         step.update(relleno=round(float(central), places), numero=True, entero=bool(facts["whole"]),
                     coma_decimal=profile.is_text(column) and profile.guided_comma(column))
         if rule == "mediana_por_grupo":

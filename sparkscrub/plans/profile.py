@@ -94,8 +94,7 @@ class Profile:
             "pending": F.when(named_weak, text.pending_date(t)),
             "digits": F.when(has_digit, F.length(F.regexp_replace(t, r"\D", ""))).otherwise(0),
         }
-        for name, expression in staged.items():
-            cells = cells.withColumn(name, expression)
+        cells = cells.withColumns(staged)
         data, guided, lenient, number, digits = map(F.col, ("data", "guided", "lenient", "number", "digits"))
         readable, pending = F.col("stamp").isNotNull(), F.col("pending")
         phone_base = is_text & ~(has_digit & (

@@ -75,15 +75,18 @@ def fit(df: DataFrame, config: dict, overrides: dict[str, dict] | None = None, w
     date parts. Returns the recipe, a JSON-ready list of frozen steps."""
     tokens, ignore = tuple(config["tokens"]), config["ignorar"]
     recipe: list[dict] = []
+    current: Profile | None = None  # facts of the table as it is now, shared by the steps that need them
 
     def add(step: dict | None) -> None:
-        nonlocal df
+        nonlocal df, current
         if step:
             recipe.append(step)
-            df = S.apply_step(df, step)
+            df, current = S.apply_step(df, step), None
 
     def profiled() -> Profile:
-        return Profile(df, [c for c in df.columns if c not in ignore], tokens)
+        nonlocal current
+        current = current or Profile(df, [c for c in df.columns if c not in ignore], tokens)
+        return current
 
     if config["nombres"]:
         add({"tipo": "nombres", "mapa": config["nombres"]})
