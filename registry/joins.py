@@ -113,14 +113,14 @@ def _(spark, sf):
 
 
 @query("jn_08_collapse_by_key", duck("dirty_lineitem") + """
-SELECT l_partkey, arg_min(l_returnflag, _row_id * 1000 + l_suppkey) AS l_returnflag, round(sum(precio_unitario), 2) AS precio_unitario, round(avg(total), 3) AS total, round(quantile_cont(cantidad, 0.5), 4) AS cantidad,
+SELECT l_partkey, arg_min(l_returnflag, _row_id * 1000 + l_suppkey) AS l_returnflag, round(sum(precio_unitario), 2) AS precio_unitario, round(avg(total) + 1e-5, 3) AS total, round(quantile_cont(cantidad, 0.5), 4) AS cantidad,
   CAST(max(l_linenumber) AS DOUBLE) AS l_linenumber, min(l_tax) AS l_tax, count(l_shipdate) AS l_shipdate, count(DISTINCT l_suppkey) AS l_suppkey FROM dirty_lineitem GROUP BY l_partkey""")
 def _(spark, sf):
     df = dirty(spark, sf, "dirty_lineitem").withColumn("_row_id", F.col("_row_id") * 1000 + F.col("l_suppkey"))
     out = joins.collapse(df, ["l_partkey"], {
         "l_returnflag": "first", "precio_unitario": "sum", "total": "mean", "cantidad": "median", "l_linenumber": "max", "l_tax": "min",
         "l_shipdate": "count", "l_suppkey": "nunique"}, ROW_ID)
-    return out.withColumns({"precio_unitario": F.round("precio_unitario", 2), "total": F.round("total", 3), "cantidad": F.round("cantidad", 4)})
+    return out.withColumns({"precio_unitario": F.round("precio_unitario", 2), "total": F.round(F.col("total") + 1e-5, 3), "cantidad": F.round("cantidad", 4)})
 
 
 @query("jn_09_column_collisions", """
@@ -178,9 +178,9 @@ _NUM = {"lineitem": ("l_quantity", "l_extendedprice", "l_discount"), "part": ("p
 
 
 def _summary(t: str, c: str) -> str:
-    return (f"SELECT '{c}' AS columna, count({c}) AS n, round(avg({c}), 3) AS media, round(stddev_samp({c}), 3) AS desv_est, CAST(min({c}) AS DOUBLE) AS minimo, "
-            f"round(quantile_cont({c}, 0.25), 3) AS p25, round(quantile_cont({c}, 0.5), 3) AS mediana, round(quantile_cont({c}, 0.75), 3) AS p75, CAST(max({c}) AS DOUBLE) AS maximo, "
-            f"count(*) - count({c}) AS nulos, round(skewness({c}), 3) AS asimetria, round(stddev_samp({c}) / abs(avg({c})) * 100, 3) AS cv_pct, "
+    return (f"SELECT '{c}' AS columna, count({c}) AS n, round(avg({c}), 4) AS media, round(stddev_samp({c}), 4) AS desv_est, CAST(min({c}) AS DOUBLE) AS minimo, "
+            f"round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS mediana, round(quantile_cont({c}, 0.75), 4) AS p75, CAST(max({c}) AS DOUBLE) AS maximo, "
+            f"count(*) - count({c}) AS nulos, round(skewness({c}), 4) AS asimetria, round(stddev_samp({c}) / abs(avg({c})) * 100, 4) AS cv_pct, "
             f"CASE WHEN stddev_samp({c}) / abs(avg({c})) <= 0.15 THEN 'baja' WHEN stddev_samp({c}) / abs(avg({c})) <= 0.3 THEN 'moderada' ELSE 'alta' END AS variabilidad FROM {t}")
 
 
@@ -191,7 +191,7 @@ def _(spark, sf):
         part = stats.numeric_summary(table(spark, sf, t), {c: F.col(c).cast("double") for c in cs})
         out = part if out is None else out.unionByName(part)
     numeric = ("media", "desv_est", "p25", "mediana", "p75", "asimetria", "cv_pct")
-    return out.drop("pct_nulos").withColumns({c: F.round(c, 3) for c in numeric})
+    return out.drop("pct_nulos").withColumns({c: F.round(c, 4) for c in numeric})
 
 
 def _categorical(t: str, c: str, empty: str) -> str:
@@ -211,7 +211,7 @@ _OUTS = ("cantidad", "precio_unitario", "total")
 
 @query("agg_04_outlier_table", duck("dirty_lineitem") + "\n" + union_all([f"""
 SELECT '{c}' AS columna, round(any_value(q1), 3) AS q1, round(any_value(q3), 3) AS q3, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_atipicos,
- round(count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * 100.0 / count(v), 2) AS pct_atipicos,
+ CAST(printf('%.2f', count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * 1.0 / count(v) * 100) AS DOUBLE) AS pct_atipicos,
  round(min(v) FILTER (WHERE v < q1 - 1.5 * (q3 - q1)), 2) AS menor_atipico, round(max(v) FILTER (WHERE v > q3 + 1.5 * (q3 - q1)), 2) AS mayor_atipico
 FROM (SELECT {c} AS v FROM dirty_lineitem), (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM dirty_lineitem)""" for c in _OUTS]))
 def _(spark, sf):
@@ -275,7 +275,9 @@ def _(spark, sf):
 
 @query("agg_09_computed_columns", duck("dirty_lineitem") + """
 SELECT 'total' AS columna, 'producto' AS op, 'cantidad' AS a, 'precio_unitario' AS b,
-  round(count(*) FILTER (WHERE abs(total - cantidad * precio_unitario) <= abs(cantidad * precio_unitario) * 0.005 + 0.011) * 1.0 / count(cantidad), 4) AS acierto FROM dirty_lineitem""")
+  round(count(*) FILTER (WHERE abs(total - cantidad * precio_unitario) <= abs(cantidad * precio_unitario) * 0.005 + 0.011) * 1.0 / count(cantidad), 4) AS acierto FROM dirty_lineitem
+UNION ALL SELECT 'precio_unitario', 'cociente', 'total', 'cantidad',
+  round(count(*) FILTER (WHERE abs(precio_unitario - total / cantidad) <= abs(total / cantidad) * 0.005 + 0.011) * 1.0 / count(cantidad), 4) FROM dirty_lineitem""")
 def _(spark, sf):
     df = dirty(spark, sf, "dirty_lineitem")
     return stats.computed_columns(df, ["cantidad", "precio_unitario", "l_tax", "total"]).withColumn("acierto", F.round("acierto", 4))
@@ -408,8 +410,7 @@ def _(spark, sf):
 def written_csv(spark, sf, sep=";"):
     path = fresh_path(spark, "clientes") + ".csv"
     df = dirty(spark, sf, "dirty_customer").withColumn("postal", F.lpad(F.col("id").cast("string"), 6, "0"))
-    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
-    return path
+    return delimited.write_delimited(df, path, sep=sep)
 
 
 _TYPED = duck("dirty_customer") + """ SELECT _row_id, id, nombre, CASE WHEN email <> '' THEN email END AS email, telefono, saldo, segmento, estado, nacion, lpad(CAST(id AS VARCHAR), 6, '0') AS postal FROM dirty_customer"""

@@ -177,12 +177,13 @@ def all_text(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_delimited(df: DataFrame, path: str, if_exists: str = "replace", bom: bool = False) -> str:
+def write_delimited(df: DataFrame, path: str, if_exists: str = "replace", bom: bool = False, sep: str = ",") -> str:
     """SRC-13: a folder of CSV parts with header; `bom` marks the first header for spreadsheet programs."""
     mode = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}[if_exists]
     if bom:
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.write.mode(mode).options(header=True, escape='"', sep=sep, ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
