@@ -178,9 +178,9 @@ _NUM = {"lineitem": ("l_quantity", "l_extendedprice", "l_discount"), "part": ("p
 
 
 def _summary(t: str, c: str) -> str:
-    return (f"SELECT '{c}' AS columna, count({c}) AS n, round(avg({c}), 4) AS media, round(stddev_samp({c}), 4) AS desv_est, CAST(min({c}) AS DOUBLE) AS minimo, "
-            f"round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS mediana, round(quantile_cont({c}, 0.75), 4) AS p75, CAST(max({c}) AS DOUBLE) AS maximo, "
-            f"count(*) - count({c}) AS nulos, round(skewness({c}), 4) AS asimetria, round(stddev_samp({c}) / abs(avg({c})) * 100, 4) AS cv_pct, "
+    return (f"SELECT '{c}' AS columna, count({c}) AS n, CAST(printf('%.4f', CAST(avg({c}) AS DOUBLE)) AS DOUBLE) AS media, CAST(printf('%.4f', CAST(stddev_samp({c}) AS DOUBLE)) AS DOUBLE) AS desv_est, CAST(min({c}) AS DOUBLE) AS minimo, "
+            f"CAST(printf('%.4f', CAST(quantile_cont({c}, 0.25) AS DOUBLE)) AS DOUBLE) AS p25, CAST(printf('%.4f', CAST(quantile_cont({c}, 0.5) AS DOUBLE)) AS DOUBLE) AS mediana, CAST(printf('%.4f', CAST(quantile_cont({c}, 0.75) AS DOUBLE)) AS DOUBLE) AS p75, CAST(max({c}) AS DOUBLE) AS maximo, "
+            f"count(*) - count({c}) AS nulos, CAST(printf('%.4f', CAST(skewness({c}) AS DOUBLE)) AS DOUBLE) AS asimetria, CAST(printf('%.4f', CAST(stddev_samp({c}) / abs(avg({c})) * 100 AS DOUBLE)) AS DOUBLE) AS cv_pct, "
             f"CASE WHEN stddev_samp({c}) / abs(avg({c})) <= 0.15 THEN 'baja' WHEN stddev_samp({c}) / abs(avg({c})) <= 0.3 THEN 'moderada' ELSE 'alta' END AS variabilidad FROM {t}")
 
 
@@ -190,8 +190,7 @@ def _(spark, sf):
     for t, cs in _NUM.items():
         part = stats.numeric_summary(table(spark, sf, t), {c: F.col(c).cast("double") for c in cs})
         out = part if out is None else out.unionByName(part)
-    numeric = ("media", "desv_est", "p25", "mediana", "p75", "asimetria", "cv_pct")
-    return out.drop("pct_nulos").withColumns({c: F.round(c, 4) for c in numeric})
+    return out.drop("pct_nulos")
 
 
 def _categorical(t: str, c: str, empty: str) -> str:
@@ -210,13 +209,13 @@ _OUTS = ("cantidad", "precio_unitario", "total")
 
 
 @query("agg_04_outlier_table", duck("dirty_lineitem") + "\n" + union_all([f"""
-SELECT '{c}' AS columna, round(any_value(q1), 3) AS q1, round(any_value(q3), 3) AS q3, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_atipicos,
+SELECT '{c}' AS columna, CAST(printf('%.4f', any_value(q1)) AS DOUBLE) AS q1, CAST(printf('%.4f', any_value(q3)) AS DOUBLE) AS q3, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_atipicos,
  CAST(printf('%.2f', count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * 1.0 / count(v) * 100) AS DOUBLE) AS pct_atipicos,
  round(min(v) FILTER (WHERE v < q1 - 1.5 * (q3 - q1)), 2) AS menor_atipico, round(max(v) FILTER (WHERE v > q3 + 1.5 * (q3 - q1)), 2) AS mayor_atipico
 FROM (SELECT {c} AS v FROM dirty_lineitem), (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM dirty_lineitem)""" for c in _OUTS]))
 def _(spark, sf):
     out = stats.outlier_table(dirty(spark, sf, "dirty_lineitem"), {c: F.col(c) for c in _OUTS})
-    return out.select("columna", F.round("q1", 3).alias("q1"), F.round("q3", 3).alias("q3"), "n_atipicos", "pct_atipicos",
+    return out.select("columna", "q1", "q3", "n_atipicos", "pct_atipicos",
                       F.round("menor_atipico", 2).alias("menor_atipico"), F.round("mayor_atipico", 2).alias("mayor_atipico"))
 
 

@@ -12,6 +12,9 @@ from ..functions import text as X
 from ..operators.rows import q
 from ..plans.profile import Profile
 
+# Spark reads Latin-1 but not its Windows variant: the 32 positions that differ are translated after reading.
+_C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_C1_LATIN, _C1_WINDOWS = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
 TEXT_EXTENSIONS = (".csv", ".txt", ".tsv", ".tab")
 SEPARATORS = (",", ";", "\t", "|")
 SNIFF_BYTES = 1 << 16
@@ -76,14 +79,17 @@ def read_text_table(spark: SparkSession, path: str, sep: str | None = None, enco
         raise ValueError("el archivo está vacío: no tiene encabezados ni datos")
     found, named = sniff_separator(head)
     sep = sep or found
-    quoted = {"sep": sep, "encoding": encoding, "multiLine": "true", "escape": '"', "mode": "PERMISSIVE",
+    windows, spark_encoding = encoding == "windows-1252", "ISO-8859-1" if encoding == "windows-1252" else encoding
+    quoted = {"sep": sep, "encoding": spark_encoding, "multiLine": "true", "escape": '"', "mode": "PERMISSIVE",
               "enforceSchema": "true"}
     header_line = next(line for line in head[1 if named else 0:] if line.strip())
     header = names.repair_header(_split_line(spark, header_line, sep))
-    wide = max(len(header), _width(spark, path, sep, encoding))
+    wide = max(len(header), _width(spark, path, sep, spark_encoding))
     columns = header + [f"columna_extra_{i}" for i in range(len(header) + 1, wide + 1)]
     schema = ", ".join(f"`c{i}` string" for i in range(len(columns)))
     raw = spark.read.options(**quoted).schema(schema).csv(path)
+    if windows:
+        raw = raw.select(*[F.translate(q(c), _C1_LATIN, _C1_WINDOWS).alias(c) for c in raw.columns])
     skip = [header_line] + ([head[0]] if named else [])
     first_cells = [_split_line(spark, line, sep) for line in skip]
     for cells in first_cells:  # the header and the sep= line, wherever each file of a folder repeats them
