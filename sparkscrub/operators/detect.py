@@ -53,7 +53,8 @@ def missing(profile: Profile) -> list[Check]:
     for c in profile.columns:
         value = numbers.finite(q(c)) if profile.is_numeric(c) else q(c)
         detail = F.when(value.isNull(), "Valor vacío/nulo").otherwise("Valor vacío (celda en blanco o solo con espacios)")
-        out.append(Check("faltante", c, text.is_blank(value), value.cast("string"), detail))
+        empty = text.is_blank(value) if profile.is_text(c) else value.isNull()
+        out.append(Check("faltante", c, empty, value.cast("string"), detail))
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates, names, numbers, rules, text
 from ..functions import vocab as V
-from ..plans.profile import Profile, bounded_scale, fences, number_facts
+from ..plans.profile import Profile, bounded_scale, fences, is_empty, number_facts
 from ..plans.quantiles import column_quantiles, group_median
 from . import formula as formula_of
 from .rows import literal_map, q
@@ -285,7 +285,7 @@ def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str
     step = {"tipo": "regla", "columna": column, "regla": rule, "tokens": list(tokens), "relleno": None}
     dtype = df.schema[column].dataType
     numeric = numbers.is_numeric_type(dtype)
-    is_null = text.is_null(numbers.finite(q(column)) if numeric else q(column), tokens)
+    is_null = is_empty(df, column, tokens)
     if rule in ("dejar", "eliminar_columna", "eliminar_fila"):
         return step
     if not df.filter(is_null).limit(1).count():
@@ -300,7 +300,7 @@ def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str
             raise ValueError(f"'{column}' tiene {lost} valores que no son números; conviértala antes o use otra regla")
         if not facts["n"]:
             raise ValueError(f"'{column}' no tiene ningún número para calcular la {rule}")
-        places = min(max(facts["decimals"], 2), 6)
+        places = min(max(df.agg(numbers.decimals_in_use(data)).first()[0], 2), 6)
         central = facts["mean"] if rule == "media" else column_quantiles(df, {column: data}, [0.5], facts["rows"])[column][0]
         step.update(relleno=round(float(central), places), numero=True, entero=bool(facts["whole"]),
                     coma_decimal=profile.is_text(column) and profile.guided_comma(column))
@@ -385,8 +385,7 @@ def _apply_blanks(df, step):
     new = {}
     for c in step["columnas"]:
         if c in df.columns:
-            value = numbers.finite(q(c)) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else q(c)
-            new[c] = F.when(~text.is_null(value, step["tokens"]), value)
+            new[c] = F.when(~is_empty(df, c, step["tokens"]), q(c))
     return _replace(df, new)
 
 
@@ -408,7 +407,7 @@ def _apply_coordinates(df, step):
 
 def _apply_dates(df, step):
     return _replace(df, {i["columna"]: dates.unify_dates(
-        F.when(~text.is_null(q(i["columna"]), step["tokens"]), q(i["columna"])), i["formato"], i["dia_primero"],
+        F.when(~is_empty(df, i["columna"], step["tokens"]), q(i["columna"])), i["formato"], i["dia_primero"],
         df.schema[i["columna"]].dataType) for i in step["items"] if i["columna"] in df.columns})
 
 
@@ -485,7 +484,7 @@ def _apply_rule(df, step):
         return df
     dtype = df.schema[c].dataType
     value = numbers.finite(q(c)) if isinstance(dtype, (T.DoubleType, T.FloatType)) else q(c)
-    empty = text.is_null(value, step["tokens"])
+    empty = is_empty(df, c, step["tokens"])
     if rule == "eliminar_columna":
         return df.drop(c)
     if rule == "eliminar_fila":
@@ -595,7 +594,7 @@ def date_report(df: DataFrame, step: dict) -> DataFrame:
 def final_audit(before: DataFrame, after: DataFrame, tokens=V.NULL_TOKENS) -> DataFrame:
     """GUI-26: (medida, antes, despues): rows, columns, null cells, repeated rows."""
     def measure(df: DataFrame) -> dict[str, int]:
-        cells = reduce(lambda a, b: a + b, [text.is_null(q(c), tokens).cast("long") for c in df.columns])
+        cells = reduce(lambda a, b: a + b, [is_empty(df, c, tokens).cast("long") for c in df.columns])
         per_row = df.withColumn("__nulls", cells)
         grouped = per_row.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"), F.sum("__nulls").alias("z"))
         row = grouped.agg(F.sum("n"), F.sum("z"), F.count(F.lit(1))).first()

@@ -18,6 +18,10 @@ from ..functions import vocab as V
 from .quantiles import column_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
+FEW_VALUES = 0.05  # distinct share below which a text column is profiled through its distinct values
+_TEXT_FACTS = ("token_nulls", "blanks", "email", "phone_base", "phone", "plain_number", "plain_filled", "number_start", "guided_number",
+               "lenient_number", "g_dec", "g_tho", "l_dec", "l_tho", "date_like", "not_pending", "readable_date", "guided_date",
+               "dictionary_date", "leading_zero", "all_digits", "max_length", "mean_length")
 
 
 def col(name: str) -> Column:
@@ -36,8 +40,10 @@ def unpivot(df: DataFrame, values: dict[str, Column], keep: list[Column] | None
         *[k for k in ([c for c in df.select(*(keep or [])).columns] if keep else [])], "__cell.columna", "__cell.v")
 
 
-def _share(hits: Column, base: Column) -> Column:
-    return F.sum(F.when(base & hits, 1).otherwise(0))
+def distinct_sketch(hashed: Column, present: Column | None = None) -> Column:
+    """Estimated distinct count (about 5 %) from 64-bit hashes: one small mergeable sketch per group."""
+    value = hashed if present is None else F.when(present, hashed)
+    return F.approx_count_distinct(value)
 
 
 class Profile:
@@ -51,6 +57,7 @@ class Profile:
         self.limit = limit
         self._quantiles: dict[str, list[float] | None] = {}
         self._exact_distinct: dict[str, int] = {}
+        self._numbers: dict[tuple[str, bool], dict] = {}
 
     # -- column groups ---------------------------------------------------------------------------
     def is_text(self, name: str) -> bool:
@@ -73,15 +80,20 @@ class Profile:
     @cached_property
     def text(self) -> dict[str, dict]:
         """Counts of every column and, for text columns, how many values pass each content test."""
-        if not self.columns:
-            return {}
-        structs = []
-        for c in self.columns:
-            value = numbers.finite(col(c)) if isinstance(self.types[c], (T.DoubleType, T.FloatType)) else col(c)
-            own_text = col(c) if self.is_text(c) else F.lit(None).cast("string")
-            structs.append(F.struct(F.lit(c).alias("columna"), own_text.alias("v"), value.isNotNull().alias("present"),
-                                    F.when(value.isNotNull(), F.xxhash64(value)).alias("h")))
-        cells = self.df.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+        counts = self._plain_counts(self.columns)
+        textual = [c for c in self.columns if self.is_text(c) and counts[c]["data"]]
+        if not textual:
+            return counts
+        # A column with few distinct values is tested value by value, weighted; one with many goes straight through,
+        # since gathering its values first would shuffle them all.
+        few = [c for c in textual if counts[c]["approx_distinct"] <= FEW_VALUES * counts[c]["data"]]
+        many = [c for c in textual if c not in few]
+        parts = []
+        if few:
+            parts.append(unpivot(self.df, {c: col(c) for c in few}).groupBy("columna", "v").agg(F.count(F.lit(1)).alias("w")))
+        if many:
+            parts.append(unpivot(self.df, {c: col(c) for c in many}).withColumn("w", F.lit(1).cast("long")))
+        cells = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumn("present", F.col("v").isNotNull())
         cells = cells.withColumn("t", text.strip("v")).withColumn("has_digit", F.col("t").rlike("[0-9]"))
         v, t, present = F.col("v"), F.col("t"), F.col("present")
         is_text, filled, has_digit = t.isNotNull(), t != "", F.col("has_digit")
@@ -104,15 +116,14 @@ class Profile:
         l_dec, l_tho = numbers.comma_evidence(lenient)
 
         def n(condition: Column) -> Column:
-            return F.count_if(F.coalesce(condition, F.lit(False)))
+            return F.sum(F.when(condition, F.col("w")).otherwise(0))
 
         agg = cells.groupBy("columna").agg(
-            F.count(F.lit(1)).alias("n"),
+            F.sum("w").alias("n"),
             n(~present).alias("nulls"),
             n(present & ~data).alias("token_nulls"),
             n(is_text & ~filled).alias("blanks"),
             n(data).alias("data"),
-            F.approx_count_distinct(F.when(F.coalesce(~is_text | filled, F.lit(True)), F.col("h")), 0.02).alias("approx_distinct"),
             n(is_text & t.rlike(V.EMAIL_RE)).alias("email"),
             n(phone_base).alias("phone_base"),
             n(phone_base & digits.between(7, 15)).alias("phone"),
@@ -131,9 +142,21 @@ class Profile:
             n(is_text & data & t.rlike(r"^0\d+$")).alias("leading_zero"),
             n(is_text & filled & t.rlike(r"^\d+$")).alias("all_digits"),
             F.max(F.when(is_text & data, F.length(t))).alias("max_length"),
-            F.avg(F.when(is_text & data, F.length(t))).alias("mean_length"),
+            F.try_divide(F.sum(F.when(is_text & data, F.length(t) * F.col("w"))), n(is_text & data)).alias("mean_length"),
         )
-        return {r["columna"]: r.asDict() for r in agg.collect()}
+        for r in agg.collect():
+            counts[r["columna"]].update(r.asDict())
+        return counts
+
+    def _plain_counts(self, columns: list[str]) -> dict[str, dict]:
+        """Rows, nulls and estimated distinct values of every column: one narrow aggregation, no text work."""
+        aggs = []
+        for i, c in enumerate(columns):
+            value = numbers.finite(col(c)) if isinstance(self.types[c], (T.DoubleType, T.FloatType)) else col(c)
+            aggs += [F.count(value).alias(f"n{i}"), distinct_sketch(F.xxhash64(value), value.isNotNull()).alias(f"d{i}")]
+        row = self.df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+        return {c: {**dict.fromkeys(_TEXT_FACTS, 0), "n": row["n"], "nulls": row["n"] - row[f"n{i}"], "data": row[f"n{i}"],
+                    "approx_distinct": row[f"d{i}"]} for i, c in enumerate(columns)}
 
     # -- readings of a column as number ---------------------------------------------------------------
     def guided_comma(self, name: str) -> bool:
@@ -204,13 +227,13 @@ class Profile:
         base = self.filled(name)
         return bool(base and self.text[name]["number_start"] / base > 0.7)
 
-    def distinct_share(self, name: str, threshold: float, blanks_count: bool = False) -> float:
+    def distinct_share(self, name: str, threshold: float) -> float:
         """Distinct / present; estimated when far from the threshold, exact near it."""
         base = self.filled(name)
         if not base:
             return 0.0
         estimate = self.text[name]["approx_distinct"] / base
-        if abs(estimate - threshold) > 0.12 * max(threshold, estimate):
+        if abs(estimate - threshold) > 0.25 * max(threshold, estimate):
             return estimate
         return self.exact_distinct([name])[name] / base
 
@@ -303,7 +326,7 @@ class Profile:
                       and (self.is_numeric(c) or self.is_text(c)) and self.present(c) >= 5]
         facts = self.number_facts(candidates)
         near = [c for c in candidates if facts[c]["n"] >= 0.9 * self.present(c) and facts[c]["whole"]
-                and facts[c]["approx_distinct"] >= 0.9 * facts[c]["n"]]
+                and facts[c]["approx_distinct"] >= 0.8 * facts[c]["n"]]
         if not near:
             return []
         values = {c: self.lenient_number(c) for c in near}
@@ -362,14 +385,17 @@ class Profile:
 
     # -- pass 2: numbers ------------------------------------------------------------------------------------
     def number_facts(self, wanted: list[str], guided: bool = False) -> dict[str, dict]:
-        values = {c: self.guided_number(c) if guided else self.lenient_number(c) for c in wanted}
-        return number_facts(self.df, values)
+        missing = [c for c in wanted if (c, guided) not in self._numbers]
+        values = {c: self.guided_number(c) if guided else self.lenient_number(c) for c in missing}
+        self._numbers.update({(c, guided): f for c, f in number_facts(self.df, values).items()})
+        return {c: self._numbers[(c, guided)] for c in wanted}
 
     def quartiles(self, wanted: list[str], guided: bool = False) -> dict[str, list[float] | None]:
         missing = [c for c in wanted if (c, guided) not in self._quantiles]
         values = {c: self.guided_number(c) if guided else self.lenient_number(c) for c in missing}
         extra = {} if self.limit is None else {"limit": self.limit}
-        for c, q in column_quantiles(self.df, values, QUARTILES, self.rows, **extra).items():
+        known = {c: self._numbers[(c, guided)] for c in missing if (c, guided) in self._numbers}
+        for c, q in column_quantiles(self.df, values, QUARTILES, self.rows, known, **extra).items():
             self._quantiles[(c, guided)] = q
         return {c: self._quantiles[(c, guided)] for c in wanted}
 
@@ -392,6 +418,14 @@ class Profile:
         return [c for i, c in enumerate(quartiles) if row[f"o{i}"] >= 0.03 and exact.get(c, 10) >= 10]
 
 
+def is_empty(df: DataFrame, name: str, tokens=V.NULL_TOKENS) -> Column:
+    """NULL, NaN, or (text only) blank or a null text: only text is ever compared as text."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return text.is_null(col(name), tokens)
+    return (numbers.finite(col(name)) if isinstance(dtype, (T.DoubleType, T.FloatType)) else col(name)).isNull()
+
+
 def fences(quartiles: list[float], factor: float = 1.5) -> tuple[float, float]:
     q1, q3 = quartiles[0], quartiles[2]
     return q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
@@ -419,8 +453,8 @@ def number_facts(df: DataFrame, values: dict[str, Column]) -> dict[str, dict]:
         F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.skewness("v").alias("skewness"), F.bool_and(numbers.is_whole(v)).alias("whole"),
         F.count_if(v < 0).alias("negatives"), F.count_if(v == 0).alias("zeros"),
-        F.bool_and(v.isin(0.0, 1.0)).alias("zero_one"), F.approx_count_distinct("v", 0.02).alias("approx_distinct"),
-        F.max(F.abs(v)).alias("max_abs"), numbers.decimals_in_use(v).alias("decimals"),
+        F.bool_and(v.isin(0.0, 1.0)).alias("zero_one"), distinct_sketch(F.xxhash64("v"), v.isNotNull()).alias("approx_distinct"),
+        F.max(F.abs(v)).alias("max_abs"),
     )
     out = {r["columna"]: r.asDict() for r in agg.collect()}
     for facts in out.values():

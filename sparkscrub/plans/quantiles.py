@@ -1,23 +1,24 @@
 """Exact quantiles and running totals that stay distributed.
 
 ``percentile`` keeps every distinct value of a group in one buffer. That is fine while the group is small; a larger
-group is resolved by narrowing a bracket around each wanted rank with histograms, so that no task ever holds a
-group: each pass reads the data once and shuffles at most ``BUCKETS`` rows per group and rank and input partition.
+group is resolved by narrowing brackets around the wanted ranks with histograms, so that no task ever holds a
+group: each pass reads the data once and shuffles at most ``BUCKETS`` rows per bracket and input partition.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-GROUP_LIMIT = 1_000_000  # rows of one group that percentile() may buffer
+GROUP_LIMIT = 1_000_000  # rows of one group that a buffer or a single window may hold
+PERCENTILE_LIMIT = 100_000  # beyond this many rows brackets are quicker than percentile()
 BUCKETS = 1024
-MAX_HOT_KEYS = 20_000
+DRIVER_ROWS = 200_000  # histogram rows or candidate values that may reach the driver in one pass
+MAX_HOT_KEYS = 10_000
 
 
 def _ranks(n: int, probs: list[float]) -> list[int]:
@@ -38,47 +39,51 @@ def _interpolate(n: int, probs: list[float], at: dict[int, float]) -> list[float
 
 
 def _select_ranks(data: DataFrame, keys: list[str], value: str, groups: list) -> dict[tuple, dict[int, float]]:
-    """Order statistics of a bounded list of groups: {key: {rank: value}}. `groups` rows: keys, n, lo, hi, probs."""
-    found: dict[tuple, dict[int, float]] = {}
-    open_brackets = []  # key..., rank, lo, hi, rows below the bracket
-    for g in groups:
-        key = tuple(g["key"])
-        found[key] = {}
-        for rank in _ranks(g["n"], g["probs"]):
-            if g["lo"] == g["hi"]:
-                found[key][rank] = g["lo"]
-            else:
-                open_brackets.append((*key, rank, g["lo"], g["hi"], 0))
-    key_types = ", ".join(f"`{k}` {data.schema[k].dataType.simpleString()}" for k in keys)
-    while open_brackets:
-        brackets = data.sparkSession.createDataFrame(
-            open_brackets, f"{key_types}, __rank long, __lo double, __hi double, __below long")
-        # The bracket list is bounded (hot keys x ranks, checked by the caller), so shipping it is safe.
-        on = [data[k].eqNullSafe(brackets[k]) for k in keys]
-        inside = (data[value] >= brackets["__lo"]) & (data[value] <= brackets["__hi"])
-        width = (brackets["__hi"] / BUCKETS - brackets["__lo"] / BUCKETS)
-        bucket = F.least(F.floor((data[value] - brackets["__lo"]) / F.nullif(width, F.lit(0.0))), F.lit(BUCKETS - 1))
-        counted = (
-            data.join(F.broadcast(brackets), [*on, inside])
-            .groupBy(*[brackets[k] for k in keys], "__rank", "__below", F.coalesce(bucket, F.lit(0)).alias("__bucket"))
-            .agg(F.count(F.lit(1)).alias("__n"), F.min(data[value]).alias("__lo"), F.max(data[value]).alias("__hi"))
-        )
-        w = Window.partitionBy(*keys, "__rank").orderBy("__bucket")  # at most BUCKETS rows per group
-        placed = counted.withColumn("__before", F.col("__below") + F.sum("__n").over(w) - F.col("__n"))
-        hits = placed.filter((F.col("__rank") >= F.col("__before"))
-                             & (F.col("__rank") < F.col("__before") + F.col("__n"))).collect()
-        open_brackets = []
-        for row in hits:
-            key = tuple(row[k] for k in keys)
-            if row["__lo"] == row["__hi"]:
-                found[key][row["__rank"]] = row["__lo"]
-            else:
-                open_brackets.append((*key, row["__rank"], row["__lo"], row["__hi"], row["__before"]))
+    """Order statistics of a bounded list of groups: {key: {rank: value}}. `groups` hold key, n, lo, hi, probs.
+
+    A bracket is a value range known to hold some wanted ranks and the number of rows below it. Every pass cuts all
+    brackets into buckets, until the values inside them are few enough to be listed."""
+    found: dict[tuple, dict[int, float]] = {tuple(g["key"]): {} for g in groups}
+    brackets = [(tuple(g["key"]), g["lo"], g["hi"], 0, g["n"], _ranks(g["n"], g["probs"])) for g in groups]
+    kinds = ", ".join(f"`{k}` {data.schema[k].dataType.simpleString()}" for k in keys)
+    while brackets:
+        for key, low, high, _, _, ranks in brackets:
+            if low == high:
+                found[key].update(dict.fromkeys(ranks, low))
+        brackets = [x for x in brackets if x[1] != x[2]]
+        if not brackets:
+            break
+        # A few ranges per hot key, counted by the caller: safe to ship to every task.
+        table = data.sparkSession.createDataFrame(
+            [(*key, i, float(low), float(high)) for i, (key, low, high, *_) in enumerate(brackets)], f"{kinds}, __b int, __lo double, __hi double")
+        on = [data[k].eqNullSafe(table[k]) for k in keys]
+        inside = (data[value] >= table["__lo"]) & (data[value] <= table["__hi"])
+        joined = data.join(F.broadcast(table), [*on, inside])
+        listed = sum(n for *_, n, _ in brackets) <= DRIVER_ROWS
+        if listed:
+            cells = joined.groupBy("__b", data[value].alias("__lo2")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__hi2", F.col("__lo2"))
+        else:
+            cuts = max(16, min(BUCKETS, DRIVER_ROWS // len(brackets)))
+            width = table["__hi"] / cuts - table["__lo"] / cuts
+            slot = F.coalesce(F.least(F.floor((data[value] - table["__lo"]) / F.nullif(width, F.lit(0.0))), F.lit(cuts - 1)), F.lit(0))
+            cells = joined.groupBy("__b", slot.alias("__slot")).agg(
+                F.count(F.lit(1)).alias("__n"), F.min(data[value]).alias("__lo2"), F.max(data[value]).alias("__hi2"))
+        parts: dict[int, list] = {}
+        for row in cells.collect():  # at most DRIVER_ROWS rows
+            parts.setdefault(row["__b"], []).append((row["__lo2"], row["__hi2"], row["__n"]))
+        narrower = []
+        for i, (key, _, _, below, _, ranks) in enumerate(brackets):
+            for low, high, n in sorted(parts[i]):
+                mine = [r for r in ranks if below <= r < below + n]
+                if mine:
+                    narrower.append((key, low, high, below, n, mine))
+                below += n
+        brackets = narrower
     return found
 
 
 def column_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], rows: int | None = None,
-                     limit: int = GROUP_LIMIT) -> dict[str, list[float] | None]:
+                     known: dict[str, dict] | None = None, limit: int = PERCENTILE_LIMIT) -> dict[str, list[float] | None]:
     """Exact linear-interpolated quantiles of several columns: one job while they fit a buffer, else brackets."""
     if not values:
         return {}
@@ -90,8 +95,12 @@ def column_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float
         return {name: row[f"q{i}"] for i, name in enumerate(names)}
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), values[n].alias("v")) for n in names]))
     long = df.select(pairs.alias("p")).select(F.col("p.c").alias("columna"), F.col("p.v").alias("v")).filter("v is not null")
-    stats = long.groupBy("columna").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    groups = [{"key": (r["columna"],), "n": r["n"], "lo": r["lo"], "hi": r["hi"], "probs": probs} for r in stats]
+    known = dict(known or {})  # facts already measured: n, min and max per column
+    if any(c not in known for c in names):
+        stats = long.filter(~F.col("columna").isin(*known)) if known else long
+        for r in stats.groupBy("columna").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")).collect():
+            known[r["columna"]] = r.asDict()
+    groups = [{"key": (c,), "n": f["n"], "lo": f["min"], "hi": f["max"], "probs": probs} for c, f in known.items() if c in values and f["n"]]
     ranks = _select_ranks(long, ["columna"], "v", groups)
     out: dict[str, list[float] | None] = {name: None for name in names}
     for g in groups:
@@ -139,8 +148,3 @@ def running_total(df: DataFrame, part: list[str], order: list[str], value: str,
     local = Window.partitionBy("__slice", *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = sliced.withColumn("__local", F.sum(value).over(local)).join(offsets, ["__slice", *part])
     return joined.withColumn(out, F.col("__local") + F.col("__offset")).drop("__slice", "__local", "__offset")
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """Keep a derived table that several jobs read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
