@@ -5,6 +5,7 @@ that changes the value wins, so a column's expression is the list of its actions
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -96,8 +97,6 @@ def winsor_limits(profile: Profile, columns: list[str], factor: float = 1.5) ->
         low = max((x for x in (low, floor) if x is not None), default=None)
         high = min((x for x in (high, top) if x is not None), default=None)
         if facts[c]["n"] and facts[c]["whole"]:
-            import math
-
             low = None if low is None else math.ceil(low)
             high = None if high is None else math.floor(high)
             if low is not None and high is not None and low > high:

@@ -215,10 +215,6 @@ def bad_case(profile: Profile, columns: list[str] | None = None) -> list[Check]:
     return out
 
 
-def _number_label(value: float) -> str:
-    return f"{value:g}"
-
-
 def logical_rule(profile: Profile, name: str, scale: int | None) -> tuple[Column, Column] | None:
     """DET-18 on one column: (fires, detail) from its name, or None when the name sets no limit."""
     area = names.coordinate_range(name)
