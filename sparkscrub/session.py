@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,8 @@ def local_session(cores: str = "8", app: str = "sparkscrub") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a temporary folder made.
+    When the session names none, a session on one machine gets a temporary folder; on a cluster that is an error, since
+    executors could not read what the driver writes there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="sparkscrub-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
