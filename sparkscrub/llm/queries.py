@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality
+from . import decontaminate, jaccard, mixture, quality, tokens
+from ..session import fresh_path
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_classes")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_sets(table(spark, sf_dir, "documents"), share=90, width=3)
+
+
+@query("op10_benchmark_leaks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_source_mix", mixture.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_orc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokens.default_path())
