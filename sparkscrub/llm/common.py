@@ -105,3 +105,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slot_bits(keys: DataFrame, key: str, most: int = 27) -> tuple[int, object]:
+    """(log2 of the slots, broadcast bitmap) of the hashed keys: a filter of fixed size before a shuffle.
+
+    At most 2^most bits (16 MiB) whatever the number of keys; beyond that the filter only lets more rows pass."""
+    count = keys.count()
+    log2 = min(most, max(16, (16 * count).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << log2))
+    filled = keys.groupBy((slot / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits"))
+    pieces = filled.groupBy((F.col("word") / 4096).cast("int").alias("page")).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
+    bitmap = np.zeros(1 << (log2 - 6), dtype=np.int64)
+    for row in pieces.toLocalIterator():
+        for word in row["words"]:
+            bitmap[word["word"]] = word["bits"]
+    return log2, keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def likely(df: DataFrame, key: str, bits: tuple[int, object]) -> DataFrame:
+    """The rows of `df` whose key may be among the keys of `bits` (all that are, and a few more)."""
+    log2, shared = bits
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch["__slot"].to_numpy()
+            keep = (shared.value[slot >> 6] >> (slot & 63)) & 1 == 1
+            if keep.any():
+                yield batch.select(names).filter(pa.array(keep))
+
+    return df.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(1 << log2))).mapInArrow(run, df.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stored, word_hashes, words
+from .common import likely, mix, slices, slot_bits, stored, word_hashes, words
 from .components import components
 
 #: A shingle in at least this many sets of one task is counted exactly over all tasks ...
@@ -111,8 +111,13 @@ def _first_pass(width: int):
     return run
 
 
+def bands(n, share: int):
+    """The size band of a set; sets that can be linked lie in the same or in neighbouring bands."""
+    return np.floor(np.log(np.maximum(n, 1)) / -math.log(share / 100) + 1e-9).astype(np.int32)
+
+
 def _index_pass(width: int, share: int, heavy):
-    """(shingle, f1, f2, n) for the indexed shingles of every set, once for copies in the same stretch of a task."""
+    """(shingle, f1, band) for the indexed shingles of every set, once for copies in the same stretch of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = heavy.value
@@ -138,18 +143,18 @@ def _index_pass(width: int, share: int, heavy):
                         light = np.r_[light, own[rest][np.lexsort((own[rest], c[rest]))][:length - len(light)]]
                     picks.append(light)
                     who.append(np.full(len(light), i))
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen = set()
                 if picks:
                     of = np.concatenate(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picks).view(np.int64)), pa.array(one[of]), pa.array(two[of]), pa.array(n[of], pa.int64())],
-                                                     names=["shingle", "f1", "f2", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picks).view(np.int64)), pa.array(one[of]), pa.array(bands(n[of], share))],
+                                                     names=["shingle", "f1", "band"])
 
     return run
 
 
 def _set_pass(width: int):
-    """The sets themselves of (doc_id, f1, f2, text, ...) rows; other columns are kept."""
+    """One row with the set itself for every pair of blocks that a (rep, f1, f2, area, pairs, text) row takes part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +163,14 @@ def _set_pass(width: int):
                 one, two = _fingerprints(values, cuts)
                 part = batch.slice(start, end - start)
                 same = (one == part["f1"].to_numpy()) & (two == part["f2"].to_numpy())
-                sets = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                out = pa.RecordBatch.from_arrays([part["rep"], part["area"], part["block"], part["band"], pa.array(sets, pa.binary())],
-                                                 names=["rep", "area", "block", "band", "members"])
-                yield out.filter(pa.array(same))
+                pairs = part["pairs"].to_pylist()
+                rows = [(i, p["pair"], p["side"]) for i in np.flatnonzero(same) for p in pairs[i]]
+                for at in range(0, len(rows), 500):
+                    own = rows[at:at + 500]
+                    at_row = pa.array([r[0] for r in own], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [part["rep"].take(at_row), part["area"].take(at_row), pa.array([r[1] for r in own], pa.string()), pa.array([r[2] for r in own], pa.int32()),
+                         pa.array([values[cuts[r[0]]:cuts[r[0] + 1]].tobytes() for r in own], pa.binary())], names=["rep", "area", "pair", "side", "members"])
 
     return run
 
@@ -269,53 +278,46 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     documents = first.filter("n is not null").select("doc_id", "n", "f1", "f2")
     reps = documents.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep is not null")
 
-    index = stored(docs.mapInArrow(_index_pass(width, share, shared), "shingle long, f1 long, f2 long, n long"), "index")
-    size_key = F.struct("f1", "f2")
-    meeting = index.groupBy("shingle").agg(F.min(size_key).alias("lo"), F.max(size_key).alias("hi")).filter("lo <> hi").select("shingle", "lo")
-    edges = index.join(meeting, "shingle").select("f1", "f2", F.col("lo.f1").alias("g1"), F.col("lo.f2").alias("g2")).distinct()
-    named = reps.select("f1", "f2", "rep")
-    star = edges.join(named, ["f1", "f2"]).drop("f1", "f2").join(named.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("rep").alias("to")), ["g1", "g2"])
-    areas = components(star, "rep", "to").select(F.col("node").alias("rep"), F.col("component").alias("area"))
-
-    # bands of sizes: sets that can be linked lie in the same band or in neighbouring ones
-    band = F.floor(F.log("n") / -math.log(share / 100)).cast("int")
-    members = stored(areas.join(reps, "rep").withColumn("band", band), "members")
+    # shingles that several sets meet in; then only among sets of neighbouring sizes (each entry stands in its own band and the next)
+    index = stored(docs.mapInArrow(_index_pass(width, share, shared), "shingle long, f1 long, band int"), "index")
+    meeting = stored(index.groupBy("shingle").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("shingle"), "meeting")
+    met = likely(index, "shingle", slot_bits(meeting, "shingle")).join(meeting, "shingle").distinct()
+    met = stored(met.select("shingle", "f1", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("level")), "met")
+    levels = met.groupBy("shingle", "level").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("shingle", "level", "lo")
+    edges = met.join(levels, ["shingle", "level"]).select("f1", "lo").filter("f1 <> lo").distinct()
+    areas = components(edges, "f1", "lo").select(F.col("node").alias("f1"), F.col("component").alias("area"))
+
+    # cut neighbourhoods into blocks by size band; small neighbourhoods share shelves
+    members = stored(areas.join(reps, "f1").withColumn("band", F.floor(F.log("n") / -math.log(share / 100) + 1e-9).cast("int")), "members")
     totals = members.groupBy("area").agg(F.count("*").alias("area_sets"), F.sum("n").alias("area_shingles"))
+    totals = totals.withColumn("small", (F.col("area_sets") <= SMALL) & (F.col("area_shingles") <= BLOCK_SHINGLES // 4))
     in_band = members.groupBy("area", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    cuts = (in_band.join(totals, "area").withColumn("small", (F.col("area_sets") <= SMALL) & (F.col("area_shingles") <= BLOCK_SHINGLES // 4))
-            .select("area", "band", "small", parts.cast("long").alias("parts")))
-    n_small = totals.filter((F.col("area_sets") <= SMALL) & (F.col("area_shingles") <= BLOCK_SHINGLES // 4)).agg(
-        F.sum("area_sets"), F.sum("area_shingles")).first()
+    parts = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    cuts = in_band.join(totals, "area").select("area", "band", "small", parts.alias("parts"))
+    n_small = totals.filter("small").agg(F.sum("area_sets"), F.sum("area_shingles")).first()
     shelves = max(1, math.ceil((n_small[0] or 0) / BLOCK_SETS), math.ceil((n_small[1] or 0) / BLOCK_SHINGLES))
-    placed = members.join(cuts, ["area", "band"]).select(
-        "rep", "f1", "f2", F.when(F.col("small"), F.lit(-1)).otherwise(F.col("band")).alias("band"), "area",
-        F.when(F.col("small"), F.lit(-1)).otherwise(F.col("area")).alias("place"),
-        F.when(F.col("small"), F.pmod(F.xxhash64("area"), F.lit(shelves))).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
-    placed = stored(placed, "placed")
-
-    blocks = placed.filter("place >= 0").select("place", "band", "block").distinct()
-    other = blocks.select("place", F.col("band").alias("band2"), F.col("block").alias("block2"))
-    near = (F.col("band2") - F.col("band")).between(0, 1)
-    pairs = blocks.join(other, "place").filter(near & ((F.col("band") < F.col("band2")) | (F.col("block") <= F.col("block2"))))
-    # blocks of two bands or two parts are only compared when they share an indexed shingle
-    entries = index.join(meeting.select("shingle"), "shingle").join(placed.filter("place >= 0").select("f1", "f2", "place", "band", "block"), ["f1", "f2"])
-    entries = entries.select("shingle", "place", "band", "block").distinct()
-    theirs = entries.select("shingle", "place", F.col("band").alias("band2"), F.col("block").alias("block2"))
-    sharing = entries.join(theirs, ["shingle", "place"]).filter(near).select("place", "band", "block", "band2", "block2").distinct()
-    pairs = pairs.join(sharing, ["place", "band", "block", "band2", "block2"], "left_semi")
-
-    texts = docs.join(placed.select(F.col("rep").alias("doc_id"), "f1", "f2", "area", "band", F.struct("place", "block").alias("block")), "doc_id")
-    texts = texts.select(F.col("doc_id").alias("rep"), "f1", "f2", "area", "band", "block", "text")
-    schema = "rep long, area long, block struct<place: long, block: long>, band int, members binary"
-    sets = stored(texts.mapInArrow(_set_pass(width), schema).dropDuplicates(["rep"]).select("rep", "area", "block.place", "block.block", "band", "members"), "members")
-    alone = sets.filter("place < 0").select("rep", "area", "members", F.lit(0).alias("side"), F.struct(F.lit(-1).cast("long").alias("place"), F.lit(-1).alias("band"), "block",
-                                            F.lit(-1).alias("band2"), F.lit(-1).cast("long").alias("block2")).alias("pair"))
-    pair = F.struct("place", "band", "block", "band2", "block2").alias("pair")
-    one = sets.filter("place >= 0").join(pairs, ["place", "band", "block"]).select("rep", "area", "members", F.lit(0).alias("side"), pair)
-    two = (sets.filter("place >= 0").withColumnsRenamed({"band": "band2", "block": "block2"}).join(pairs.filter("not (band = band2 and block = block2)"), ["place", "band2", "block2"])
-           .select("rep", "area", "members", F.lit(1).alias("side"), pair))
-    links = stored(alone.union(one).union(two).groupBy("pair").applyInPandas(_join_task(share), "a long, b long"), "links")
+    block = F.when(F.col("small"), F.pmod(F.xxhash64("area"), F.lit(shelves))).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")))
+    placed = stored(members.join(cuts, ["area", "band"]).select("rep", "f1", "f2", "area", "band", "small", block.alias("block")), "placed")
+
+    # two blocks are compared when their sizes fit and an indexed shingle lies in both
+    large = placed.filter("not small").select("f1", "area", "band", "block")
+    entries = met.select("shingle", "f1").distinct().join(large, "f1").select("shingle", "area", "band", "block").distinct()
+    theirs = entries.withColumnsRenamed({"band": "band2", "block": "block2"})
+    fits = (F.col("band2") == F.col("band") + 1) | ((F.col("band2") == F.col("band")) & (F.col("block") < F.col("block2")))
+    across = entries.join(theirs, ["shingle", "area"]).filter(fits).select("area", "band", "block", "band2", "block2").distinct()
+    name = F.concat_ws(":", "area", "band", "block", "band2", "block2")
+    first_side = across.select("area", "band", "block", F.struct(name.alias("pair"), F.lit(0).alias("side")).alias("p"))
+    second_side = across.select("area", F.col("band2").alias("band"), F.col("block2").alias("block"), F.struct(name.alias("pair"), F.lit(1).alias("side")).alias("p"))
+    roles = first_side.union(second_side).groupBy("area", "band", "block").agg(F.collect_list("p").alias("others"))
+    own = F.struct(F.when(F.col("small"), F.concat_ws(":", F.lit("shelf"), "block")).otherwise(F.concat_ws(":", "area", "band", "block")).alias("pair"),
+                   F.lit(0).alias("side"))
+    roles = placed.join(roles, ["area", "band", "block"], "left").select(
+        F.col("rep").alias("doc_id"), "rep", "f1", "f2", "area", F.concat(F.array(own), F.coalesce("others", F.array().cast("array<struct<pair:string,side:int>>"))).alias("pairs"))
+
+    wanted = likely(docs, "doc_id", slot_bits(placed, "rep"))
+    sets = wanted.join(roles, "doc_id").select("rep", "f1", "f2", "area", "pairs", "text").mapInArrow(
+        _set_pass(width), "rep long, area long, pair string, side int, members binary")
+    links = stored(sets.groupBy("pair").applyInPandas(_join_task(share), "a long, b long"), "links")
 
     classes = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("class"))
     answers = reps.select("f1", "f2", "rep").join(classes, "rep", "left").select("f1", "f2", F.coalesce("class", "rep").alias("class"))
