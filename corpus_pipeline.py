@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscrub.llm import stages
+from sparkscrub.llm import decontaminate, mixture, stages, tokens
 from sparkscrub.llm.common import stored, table
+from sparkscrub.session import fresh_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +17,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return stages.keep_distinct(docs, share=80, width=5)
 
 
-STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
-#: Classifier and shingle join have no SQL form; tests/llm holds the stages against brute force.
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixture.mix_documents(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens.token_table(docs, fresh_path(spark, "tokens"), tokens.default_path())
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated),
+          ("source mix", mixed), ("token ORC", token_files)]
+
+#: Classifier, shingle join and edit matching have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
