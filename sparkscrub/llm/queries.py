@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixture, quality, tokens
+from . import decontaminate, extract, jaccard, mixture, quality, tokens
 from ..session import fresh_path
 from .common import table
 
@@ -47,3 +47,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_orc")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokens.default_path())
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
