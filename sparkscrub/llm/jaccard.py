@@ -2,7 +2,9 @@
 
 Copies of a set are one set. Shingles have a global order: those met often come last, the others by hash. Two sets of similarity
 t share one of the first n - ceil(t n) + 1 shingles, so only these are indexed. Sets that meet in the index form neighbourhoods,
-which are cut into blocks by set size. Within a pair of blocks
+which are cut into blocks by set size, and compared there in two rounds. The first round has a parity sketch of each set (2 to 4 bits per
+shingle): the sketches of two sets differ in at most as many bits as the sets differ in shingles, so pairs that differ in too many bits
+are ruled out for certain. What is left forms new neighbourhoods, and only their sets are compared in full. Within a pair of blocks
 
 * a set looks only at the stretch of blocks and list positions whose sizes can reach the threshold (index skipping), and
 * the overlaps of a set that is close to the previous one are derived from that one's overlaps: only the lists of the shingles
@@ -29,8 +31,8 @@ from .components import components
 HEAVY_IN_TASK = 4
 #: ... and the order knows the most frequent of them, so many at most (8 bytes each on every executor). It only affects speed.
 HEAVY_KNOWN = 1 << 18
-#: A block holds about so many sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 200_000
+#: A block holds about so many sets and shingles, with sketches and with full sets.
+SKETCH_BLOCK, SET_BLOCK = (1024, 2_000_000), (512, 200_000)
 #: Neighbourhoods of up to so many sets share blocks.
 SMALL = 64
 
@@ -68,11 +70,20 @@ def _fingerprints(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.
     return (one[cuts[1:]] - one[cuts[:-1]]).view(np.int64), (two[cuts[1:]] - two[cuts[:-1]]).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 2^k slots, 2^k from 2 to 4 slots per shingle."""
+    size = max(64, 1 << (2 * len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
 def needed(a, b, share: int):
     """Least overlap of sets of sizes a and b with 100 * overlap >= share * union."""
     return -(-share * (a + b) // (100 + share))
 
 
+FIRST = ["doc_id", "n", "f1", "f2", "sketch", "shingle", "times"]
+
+
 def _first_pass(width: int):
     """Per document its set's fingerprint; per task the shingles that many of its sets hold (rows without a document)."""
 
@@ -99,14 +110,14 @@ def _first_pass(width: int):
                 if pending > 3_000_000:
                     fold()
                     seen, pending = set(), 0
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(start, end - start), pa.array(n, pa.int64()), pa.array(one), pa.array(two),
-                                                  pa.nulls(end - start, pa.int64()), pa.nulls(end - start, pa.int64())], names=["doc_id", "n", "f1", "f2", "shingle", "times"])
+                sketches = [sketch(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(start, end - start), pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array(sketches, pa.binary()),
+                                                  pa.nulls(end - start, pa.int64()), pa.nulls(end - start, pa.int64())], names=FIRST)
         if kept:
             fold()
         for values, counts in totals:
             none = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values.view(np.int64)), pa.array(counts, pa.int64())],
-                                             names=["doc_id", "n", "f1", "f2", "shingle", "times"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=FIRST)
 
     return run
 
@@ -244,22 +255,90 @@ def join_block(sets: list[np.ndarray], left: np.ndarray, share: int) -> list[tup
     return found
 
 
+def sketch_block(n: np.ndarray, sketches: list[bytes], left: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the sketches do not rule out; arguments as in join_block."""
+    order = np.argsort(n, kind="stable")
+    n, side, across = n[order], left[order], not left.all()
+    rows = [np.frombuffer(sketches[i], np.uint64) for i in order]
+    width = np.array([len(r) for r in rows])  # rises with n
+    edges = np.flatnonzero(np.r_[True, width[1:] != width[:-1], True])
+    classes = [(int(a), int(b), np.stack(rows[a:b])) for a, b in zip(edges[:-1], edges[1:])]
+    forest, found = Forest(len(n)), []
+    for x in range(len(n)):
+        low = int(np.searchsorted(n, -(-share * n[x] // 100)))
+        for a, b, matrix in classes:
+            a2, b2 = max(a, low), min(b, x)
+            if a2 >= b2:
+                continue
+            own = rows[x]
+            while len(own) > matrix.shape[1]:  # folding a sketch gives the sketch of half as many slots
+                own = own[:len(own) // 2] ^ own[len(own) // 2:]
+            differ = np.bitwise_count(matrix[a2 - a:b2 - a] ^ own).sum(1, dtype=np.int64)
+            for y in np.flatnonzero(differ <= n[a2:b2] + n[x] - 2 * needed(n[a2:b2], n[x], share)) + a2:
+                if (not across or side[x] != side[y]) and forest.join(x, int(y)):
+                    found.append((int(order[x]), int(order[y])))
+    return found
+
+
+def _by_area(rows: pd.DataFrame, compare) -> pd.DataFrame:
+    """Links found by `compare` inside each neighbourhood; small neighbourhoods share a block."""
+    reps, area = rows["rep"].to_numpy(), rows["area"].to_numpy()
+    left = (rows["side"] == 0).to_numpy()
+    order = np.argsort(area, kind="stable")
+    links = []
+    for group in np.split(order, np.flatnonzero(np.diff(area[order])) + 1):
+        if len(group) > 1:
+            links += [(reps[group[a]], reps[group[b]]) for a, b in compare(group, left[group])]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _sketch_task(share: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        n, sketches = rows["n"].to_numpy(), rows["sketch"].tolist()
+        return _by_area(rows, lambda group, left: sketch_block(n[group], [sketches[i] for i in group], left, share))
+
+    return run
+
+
 def _join_task(share: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
-        reps = rows["rep"].to_numpy()
-        left = (rows["side"] == 0).to_numpy()
-        links = []
-        area = rows["area"].to_numpy()
-        order = np.argsort(area, kind="stable")  # small neighbourhoods share a block
-        for group in np.split(order, np.flatnonzero(np.diff(area[order])) + 1):
-            if len(group) > 1:
-                links += [(reps[group[a]], reps[group[b]]) for a, b in join_block([sets[i] for i in group], left[group], share)]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        return _by_area(rows, lambda group, left: join_block([sets[i] for i in group], left, share))
 
     return run
 
 
+def _blocks(areas: DataFrame, reps: DataFrame, met: DataFrame, share: int, limits: tuple[int, int], label: str) -> DataFrame:
+    """(rep, f1, f2, n, area, pairs): the pairs of blocks in which each set of a neighbourhood is compared, and on which side."""
+    most_sets, most_shingles = limits
+    band = F.floor(F.log("n") / -math.log(share / 100) + 1e-9).cast("int")
+    members = stored(areas.join(reps, "rep").withColumn("band", band), f"{label}-members")
+    totals = members.groupBy("area").agg(F.count("*").alias("area_sets"), F.sum("n").alias("area_shingles"))
+    totals = totals.withColumn("small", (F.col("area_sets") <= SMALL) & (F.col("area_shingles") <= most_shingles // 4))
+    in_band = members.groupBy("area", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("sets") / most_sets), F.ceil(F.col("shingles") / most_shingles)).cast("long")
+    cuts = in_band.join(totals, "area").select("area", "band", "small", parts.alias("parts"))
+    n_small = totals.filter("small").agg(F.sum("area_sets"), F.sum("area_shingles")).first()
+    shelves = max(1, math.ceil((n_small[0] or 0) / most_sets), math.ceil((n_small[1] or 0) / most_shingles))
+    block = F.when(F.col("small"), F.pmod(F.xxhash64("area"), F.lit(shelves))).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")))
+    placed = stored(members.join(cuts, ["area", "band"]).select("rep", "f1", "f2", "n", "area", "band", "small", block.alias("block")), f"{label}-placed")
+
+    # two blocks are compared when their sizes fit and an indexed shingle lies in both
+    large = placed.filter("not small").select("f1", "area", "band", "block")
+    entries = met.select("shingle", "f1").distinct().join(large, "f1").select("shingle", "area", "band", "block").distinct()
+    theirs = entries.withColumnsRenamed({"band": "band2", "block": "block2"})
+    fits = (F.col("band2") == F.col("band") + 1) | ((F.col("band2") == F.col("band")) & (F.col("block") < F.col("block2")))
+    across = entries.join(theirs, ["shingle", "area"]).filter(fits).select("area", "band", "block", "band2", "block2").distinct()
+    name = F.concat_ws(":", "area", "band", "block", "band2", "block2")
+    first_side = across.select("area", "band", "block", F.struct(name.alias("pair"), F.lit(0).alias("side")).alias("p"))
+    second_side = across.select("area", F.col("band2").alias("band"), F.col("block2").alias("block"), F.struct(name.alias("pair"), F.lit(1).alias("side")).alias("p"))
+    roles = first_side.union(second_side).groupBy("area", "band", "block").agg(F.collect_list("p").alias("others"))
+    own = F.struct(F.when(F.col("small"), F.concat_ws(":", F.lit("shelf"), "block")).otherwise(F.concat_ws(":", "area", "band", "block")).alias("pair"),
+                   F.lit(0).alias("side"))
+    none = F.array().cast("array<struct<pair:string,side:int>>")
+    return placed.join(roles, ["area", "band", "block"], "left").select("rep", "f1", "f2", "n", "area", F.concat(F.array(own), F.coalesce("others", none)).alias("pairs"))
+
+
 def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
@@ -268,14 +347,14 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     each given their own text's answer. A row with a null id answers with the smallest id it is linked to, null if none."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = stored(docs.mapInArrow(_first_pass(width), "doc_id long, n long, f1 long, f2 long, shingle long, times long"), "sets")
+    first = stored(docs.mapInArrow(_first_pass(width), "doc_id long, n long, f1 long, f2 long, sketch binary, shingle long, times long"), "sets")
     heavy = (first.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "shingle").limit(HEAVY_KNOWN).collect())
     known = np.array([r["shingle"] for r in heavy], dtype=np.int64).view(np.uint64)
     times = np.array([r["times"] for r in heavy], dtype=np.int64)
     up = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[up], times[up]))
-    documents = first.filter("n is not null").select("doc_id", "n", "f1", "f2")
+    documents = first.filter("n is not null").select("doc_id", "n", "f1", "f2", "sketch")
     reps = documents.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep is not null")
 
     # shingles that several sets meet in; then only among sets of neighbouring sizes (each entry stands in its own band and the next)
@@ -286,36 +365,17 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     levels = met.groupBy("shingle", "level").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("shingle", "level", "lo")
     edges = met.join(levels, ["shingle", "level"]).select("f1", "lo").filter("f1 <> lo").distinct()
     areas = components(edges, "f1", "lo").select(F.col("node").alias("f1"), F.col("component").alias("area"))
+    areas = reps.select("f1", "rep").join(areas, "f1").select("rep", "area")
 
-    # cut neighbourhoods into blocks by size band; small neighbourhoods share shelves
-    members = stored(areas.join(reps, "f1").withColumn("band", F.floor(F.log("n") / -math.log(share / 100) + 1e-9).cast("int")), "members")
-    totals = members.groupBy("area").agg(F.count("*").alias("area_sets"), F.sum("n").alias("area_shingles"))
-    totals = totals.withColumn("small", (F.col("area_sets") <= SMALL) & (F.col("area_shingles") <= BLOCK_SHINGLES // 4))
-    in_band = members.groupBy("area", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    cuts = in_band.join(totals, "area").select("area", "band", "small", parts.alias("parts"))
-    n_small = totals.filter("small").agg(F.sum("area_sets"), F.sum("area_shingles")).first()
-    shelves = max(1, math.ceil((n_small[0] or 0) / BLOCK_SETS), math.ceil((n_small[1] or 0) / BLOCK_SHINGLES))
-    block = F.when(F.col("small"), F.pmod(F.xxhash64("area"), F.lit(shelves))).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")))
-    placed = stored(members.join(cuts, ["area", "band"]).select("rep", "f1", "f2", "area", "band", "small", block.alias("block")), "placed")
-
-    # two blocks are compared when their sizes fit and an indexed shingle lies in both
-    large = placed.filter("not small").select("f1", "area", "band", "block")
-    entries = met.select("shingle", "f1").distinct().join(large, "f1").select("shingle", "area", "band", "block").distinct()
-    theirs = entries.withColumnsRenamed({"band": "band2", "block": "block2"})
-    fits = (F.col("band2") == F.col("band") + 1) | ((F.col("band2") == F.col("band")) & (F.col("block") < F.col("block2")))
-    across = entries.join(theirs, ["shingle", "area"]).filter(fits).select("area", "band", "block", "band2", "block2").distinct()
-    name = F.concat_ws(":", "area", "band", "block", "band2", "block2")
-    first_side = across.select("area", "band", "block", F.struct(name.alias("pair"), F.lit(0).alias("side")).alias("p"))
-    second_side = across.select("area", F.col("band2").alias("band"), F.col("block2").alias("block"), F.struct(name.alias("pair"), F.lit(1).alias("side")).alias("p"))
-    roles = first_side.union(second_side).groupBy("area", "band", "block").agg(F.collect_list("p").alias("others"))
-    own = F.struct(F.when(F.col("small"), F.concat_ws(":", F.lit("shelf"), "block")).otherwise(F.concat_ws(":", "area", "band", "block")).alias("pair"),
-                   F.lit(0).alias("side"))
-    roles = placed.join(roles, ["area", "band", "block"], "left").select(
-        F.col("rep").alias("doc_id"), "rep", "f1", "f2", "area", F.concat(F.array(own), F.coalesce("others", F.array().cast("array<struct<pair:string,side:int>>"))).alias("pairs"))
+    roles = _blocks(areas, reps, met, share, SKETCH_BLOCK, "near")
+    sketches = documents.select(F.col("doc_id").alias("rep"), "f1", "f2", "sketch").join(roles, ["rep", "f1", "f2"])
+    sketches = sketches.select("rep", "area", "n", "sketch", F.explode("pairs").alias("p")).select("rep", "area", "n", "sketch", "p.pair", "p.side")
+    close = stored(sketches.groupBy("pair").applyInPandas(_sketch_task(share), "a long, b long"), "close")
 
-    wanted = likely(docs, "doc_id", slot_bits(placed, "rep"))
-    sets = wanted.join(roles, "doc_id").select("rep", "f1", "f2", "area", "pairs", "text").mapInArrow(
+    areas = components(close, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("area"))
+    roles = stored(_blocks(areas, reps, met, share, SET_BLOCK, "set"), "roles")
+    wanted = likely(docs, "doc_id", slot_bits(roles, "rep"))
+    sets = wanted.join(roles.withColumn("doc_id", F.col("rep")), "doc_id").select("rep", "f1", "f2", "area", "pairs", "text").mapInArrow(
         _set_pass(width), "rep long, area long, pair string, side int, members binary")
     links = stored(sets.groupBy("pair").applyInPandas(_join_task(share), "a long, b long"), "links")
 
