@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, jaccard, mixture, quality, tokens
+from . import decontaminate, extract, jaccard, mixture, quality, tokens, warc
 from ..session import fresh_path
 from .common import table
 
@@ -52,3 +52,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_main_text")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS keeper FROM p),
+b AS (SELECT *, [CAST('0x' || substr(hex, 1 + 5 * i, 5) AS BIGINT) FOR i IN range(8)] AS parts FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate([list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INT) + 1, 1) FOR s IN [15, 10, 5, 0]], 'string_agg', '') FOR x IN parts],
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM b
+"""
+
+
+@query("op2_warc_members", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
