@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, jaccard, mixture, quality, tokens, warc
+from . import attribution, decontaminate, extract, jaccard, mixture, quality, tokens, warc
 from ..session import fresh_path
 from .common import table
 
@@ -70,3 +70,8 @@ FROM b
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archive_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_section_tokens")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.token_counts(table(spark, sf_dir, "documents"), tokens.default_path())

@@ -1,6 +1,6 @@
 """Token ids in ORC: integer run-length encoding, row indexes, Bloom filters on document ids, stripes read in parallel.
 
-Documents are ranged by id, encoded by whole text in batches and written one file per range with rows in ascending id. ORC stores the ids
+Documents are ranged by id, encoded whole and written one file per range with rows in ascending id. ORC stores the ids
 with its integer run-length encoding; the row index and the Bloom filter of doc_id let a reader of few documents skip stripes and row
 groups. `start` (tokens of all documents before) is a running total in two steps: the files' sums, then the rows of each file.
 
@@ -8,7 +8,6 @@ A null text is empty and has the end id alone. Null ids come first. Rows that re
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,24 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .encoder import encoder
+
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters given to the tokenizer at once; a longer text goes alone.
 BATCH_CHARS = 1 << 20
 
-_LOADED: dict[str, object] = {}
-
-
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-
-        _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True  # their strings in a text are ordinary text
-    return _LOADED[path]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -59,12 +47,13 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame
     """(doc_id, n_tokens, ids) for every row of doc_id, text, in the order of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model = encoder(path)
         for batch in batches:
             for first, texts in runs(batch["text"]):
-                parts = [np.array(e.ids + [end_id] * (end_id is not None), np.int32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-                cuts = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts)))
+                flat, cuts, _, _ = model.encode(texts)
+                if end_id is not None:
+                    flat, cuts = np.insert(flat, cuts[1:], end_id), cuts + np.arange(len(cuts))
+                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(texts)), pa.array(np.diff(cuts), pa.int64()), ids],
                                                  names=["doc_id", "n_tokens", "ids"])
 
