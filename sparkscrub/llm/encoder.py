@@ -1,8 +1,8 @@
 """Whole-text encoding with a tokenizers file, remembering what it has encoded.
 
 Byte-level tokenizers with the usual split (no normalizer, no added prefix space) never join a character and the white space after it, and
-look at nothing to the left; so a text may be cut before every white-space run that follows another character, and equal pieces have
-equal ids wherever they stand. Pieces are encoded once by the library and remembered. Texts with separator control characters
+look at nothing to the left; nor do they join a letter and a mark after it. So a text may be cut before every white-space run that follows
+another character, and between a Latin letter and an ASCII mark, and equal pieces have equal ids wherever they stand. Pieces are encoded once by the library and remembered. Texts with separator control characters
 (on which definitions of white space differ) and other tokenizers' texts are encoded whole. Either way the ids are those of the whole text."""
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 
 #: Pieces remembered at most; then the memory starts anew.
 REMEMBERED = 800_000
-_PIECE = re.compile(r"\s*\S+|\s+")
+_PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-/:-@\[-`{-~]|$)|\s*\S+|\s+")
 _UNCLEAR = re.compile("[\x1c-\x1f]")
 
 
