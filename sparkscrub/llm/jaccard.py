@@ -1,7 +1,9 @@
 """Exact Jaccard self-join of documents' word-shingle sets, answered with the relations between sets.
 
-Copies of a set are one set. Shingles have a global order: those met often come last, the others by hash. Two sets of similarity
-t share one of the first n - ceil(t n) + 1 shingles, so only these are indexed. Sets that meet in the index form neighbourhoods,
+Copies of a set are one set. Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles in any order of all shingles. The
+order used has a zone of hashes first, twice as large as that prefix. In the zone shingles that one set alone holds come first, then the
+others, rare ones before frequent ones; behind the zone the order is by hash. The zone's part of every set is indexed and counted over all
+sets; most sets' prefixes then hold nothing that another set has, and they are done. Sets that meet in the index form neighbourhoods,
 which are cut into blocks by set size, and compared there in two rounds. The first round has a parity sketch of each set (2 to 4 bits per
 shingle): the sketches of two sets differ in at most as many bits as the sets differ in shingles, so pairs that differ in too many bits
 are ruled out for certain. What is left forms new neighbourhoods, and only their sets are compared in full. Within a pair of blocks
@@ -21,16 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import likely, mix, slices, slot_bits, stored, word_hashes, words
 from .components import components
 
-#: A shingle in at least this many sets of one task is counted exactly over all tasks ...
-HEAVY_IN_TASK = 4
-#: ... and the order knows the most frequent of them, so many at most (8 bytes each on every executor). It only affects speed.
-HEAVY_KNOWN = 1 << 18
 #: A block holds about so many sets and shingles, with sketches and with full sets.
 SKETCH_BLOCK, SET_BLOCK = (1024, 2_000_000), (512, 200_000)
 #: Neighbourhoods of up to so many sets share blocks.
@@ -81,85 +79,54 @@ def needed(a, b, share: int):
     return -(-share * (a + b) // (100 + share))
 
 
-FIRST = ["doc_id", "n", "f1", "f2", "sketch", "shingle", "times"]
-
-
 def _first_pass(width: int):
-    """Per document its set's fingerprint; per task the shingles that many of its sets hold (rows without a document)."""
+    """Per document the size, fingerprint and sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kept, pending = set(), [], 0
-        totals: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> None:
-            values, counts = np.unique(np.concatenate(kept), return_counts=True)
-            often = counts >= HEAVY_IN_TASK
-            totals.append((values[often], counts[often]))
-            kept.clear()
-
         for batch in batches:
             for start, end, data, bounds in slices(batch["text"]):
                 values, cuts = shingle_sets(data, bounds, width)
                 one, two = _fingerprints(values, cuts)
-                n = np.diff(cuts)
-                for i in range(end - start):
-                    if n[i] and one[i] not in seen:
-                        seen.add(one[i])
-                        kept.append(values[cuts[i]:cuts[i + 1]])
-                        pending += n[i]
-                if pending > 3_000_000:
-                    fold()
-                    seen, pending = set(), 0
                 sketches = [sketch(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(start, end - start), pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array(sketches, pa.binary()),
-                                                  pa.nulls(end - start, pa.int64()), pa.nulls(end - start, pa.int64())], names=FIRST)
-        if kept:
-            fold()
-        for values, counts in totals:
-            none = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=FIRST)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(start, end - start), pa.array(np.diff(cuts), pa.int64()), pa.array(one), pa.array(two),
+                                                  pa.array(sketches, pa.binary())], names=["doc_id", "n", "f1", "f2", "sketch"])
 
     return run
 
 
-def bands(n, share: int):
-    """The size band of a set; sets that can be linked lie in the same or in neighbouring bands."""
-    return np.floor(np.log(np.maximum(n, 1)) / -math.log(share / 100) + 1e-9).astype(np.int32)
+def zone(share: int) -> int:
+    """Shingles whose upper 32 bits are below this are counted exactly: twice the part of a set that its prefix is."""
+    return min(1 << 32, (1 << 32) * 2 * (100 - share) // 100)
+
 
+def _index_pass(width: int, share: int):
+    """(shingle, f1, n, inside) for the zone's shingles of every set (`inside` of them), and for those behind it that its prefix needs.
 
-def _index_pass(width: int, share: int, heavy):
-    """(shingle, f1, band) for the indexed shingles of every set, once for copies in the same stretch of a task."""
+    Copies in the same stretch of a task are written once."""
+    limit = np.uint64(zone(share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = heavy.value
         seen: set = set()
         for batch in batches:
             for _, _, data, bounds in slices(batch["text"]):
                 values, cuts = shingle_sets(data, bounds, width)
                 one, two = _fingerprints(values, cuts)
                 n = np.diff(cuts)
-                at = np.searchsorted(known, values) if len(known) else np.zeros(len(values), int)
-                at = np.minimum(at, max(0, len(known) - 1))
-                class_ = np.where(known[at] == values, rank[at], 0) if len(known) else np.zeros(len(values), np.int64)
-                picks, who = [], []
+                picks, who, inside = [], [], np.zeros(len(n), np.int32)
                 for i in np.flatnonzero(n):
                     if (one[i], two[i]) in seen:
                         continue
                     seen.add((one[i], two[i]))
-                    own, c = values[cuts[i]:cuts[i + 1]], class_[cuts[i]:cuts[i + 1]]
-                    length = int(n[i] - -(-share * n[i] // 100) + 1)
-                    light = own[c == 0][:length]
-                    if len(light) < length:
-                        rest = c > 0
-                        light = np.r_[light, own[rest][np.lexsort((own[rest], c[rest]))][:length - len(light)]]
-                    picks.append(light)
-                    who.append(np.full(len(light), i))
+                    own = values[cuts[i]:cuts[i + 1]]  # sorted, so the zone comes first
+                    inside[i] = np.searchsorted(own, limit << np.uint64(32)) if limit < 1 << 32 else len(own)
+                    picks.append(own[:max(inside[i], int(n[i] - -(-share * n[i] // 100) + 1))])
+                    who.append(np.full(len(picks[-1]), i))
                 if len(seen) > 100_000:
                     seen = set()
                 if picks:
                     of = np.concatenate(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picks).view(np.int64)), pa.array(one[of]), pa.array(bands(n[of], share))],
-                                                     names=["shingle", "f1", "band"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picks).view(np.int64)), pa.array(one[of]), pa.array(n[of], pa.int32()), pa.array(inside[of])],
+                                                     names=["shingle", "f1", "n", "inside"])
 
     return run
 
@@ -345,22 +312,20 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     component_id is the smallest id reachable by links, the document itself included. Two documents are linked when
     100 * common shingles >= share * all shingles of both. Rows without words link with nothing. Rows that repeat an id are
     each given their own text's answer. A row with a null id answers with the smallest id it is linked to, null if none."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = stored(docs.mapInArrow(_first_pass(width), "doc_id long, n long, f1 long, f2 long, sketch binary, shingle long, times long"), "sets")
-    heavy = (first.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-             .orderBy(F.desc("times"), "shingle").limit(HEAVY_KNOWN).collect())
-    known = np.array([r["shingle"] for r in heavy], dtype=np.int64).view(np.uint64)
-    times = np.array([r["times"] for r in heavy], dtype=np.int64)
-    up = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[up], times[up]))
-    documents = first.filter("n is not null").select("doc_id", "n", "f1", "f2", "sketch")
+    documents = stored(docs.mapInArrow(_first_pass(width), "doc_id long, n long, f1 long, f2 long, sketch binary"), "sets")
     reps = documents.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep is not null")
 
-    # shingles that several sets meet in; then only among sets of neighbouring sizes (each entry stands in its own band and the next)
-    index = stored(docs.mapInArrow(_index_pass(width, share, shared), "shingle long, f1 long, band int"), "index")
-    meeting = stored(index.groupBy("shingle").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("shingle"), "meeting")
-    met = likely(index, "shingle", slot_bits(meeting, "shingle")).join(meeting, "shingle").distinct()
+    index = stored(docs.mapInArrow(_index_pass(width, share), "shingle long, f1 long, n int, inside int"), "index")
+    meeting = index.groupBy("shingle").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count("*").alias("times"))
+    meeting = stored(meeting.filter("lo <> hi").select("shingle", "times"), "meeting")
+    held = likely(index, "shingle", slot_bits(meeting, "shingle")).join(meeting, "shingle").distinct()
+    held = held.withColumn("zoned", F.shiftrightunsigned("shingle", 32) < zone(share))
+    of_set = Window.partitionBy("f1", "zoned")
+    free = F.col("n") - F.ceil(F.col("n") * share / 100) + 1 - (F.col("inside") - F.count("*").over(of_set))  # what unshared shingles leave of the prefix
+    held = held.withColumn("free", free).withColumn("place", F.row_number().over(of_set.orderBy("times", "shingle")))
+    # the prefixes' shared shingles; sets meet there in neighbouring sizes (each entry stands in its own band and the next)
+    met = held.filter("not zoned or place <= free").withColumn("band", F.floor(F.log("n") / -math.log(share / 100) + 1e-9).cast("int"))
     met = stored(met.select("shingle", "f1", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("level")), "met")
     levels = met.groupBy("shingle", "level").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("shingle", "level", "lo")
     edges = met.join(levels, ["shingle", "level"]).select("f1", "lo").filter("f1 <> lo").distinct()
