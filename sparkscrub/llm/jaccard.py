@@ -292,10 +292,10 @@ def _blocks(areas: DataFrame, reps: DataFrame, met: DataFrame, share: int, limit
 
     # two blocks are compared when their sizes fit and an indexed shingle lies in both
     large = placed.filter("not small").select("f1", "area", "band", "block")
-    entries = met.select("shingle", "f1").distinct().join(large, "f1").select("shingle", "area", "band", "block").distinct()
+    entries = met.filter("level = band").select("shingle", "f1").join(large, "f1").select("shingle", "area", "band", "block").distinct()
     theirs = entries.withColumnsRenamed({"band": "band2", "block": "block2"})
     fits = (F.col("band2") == F.col("band") + 1) | ((F.col("band2") == F.col("band")) & (F.col("block") < F.col("block2")))
-    across = entries.join(theirs, ["shingle", "area"]).filter(fits).select("area", "band", "block", "band2", "block2").distinct()
+    across = stored(entries.join(theirs, ["shingle", "area"]).filter(fits).select("area", "band", "block", "band2", "block2").distinct(), f"{label}-across")
     name = F.concat_ws(":", "area", "band", "block", "band2", "block2")
     first_side = across.select("area", "band", "block", F.struct(name.alias("pair"), F.lit(0).alias("side")).alias("p"))
     second_side = across.select("area", F.col("band2").alias("band"), F.col("block2").alias("block"), F.struct(name.alias("pair"), F.lit(1).alias("side")).alias("p"))
