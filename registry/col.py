@@ -369,7 +369,7 @@ def _(spark, sf):
 @query("gui_15_derived_columns", """
 SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 4) AS neto, round(l_extendedprice * (1 - l_discount) * (1 + l_tax) / l_quantity + 1e-7, 4) AS por_unidad FROM lineitem""")
 def _(spark, sf):
-    step = S.fit_derived(["neto = [l_extendedprice] * (1 - [l_discount])", "por_unidad = [neto] * (1 + [L Tax]) / [l_quantity]"])
+    step = S.fit_derived(table(spark, sf, "lineitem"), ["neto = [l_extendedprice] * (1 - [l_discount])", "por_unidad = [neto] * (1 + [L Tax]) / [l_quantity]"])
     out = S.apply_step(table(spark, sf, "lineitem"), step)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("neto", 4).alias("neto"), F.round(F.col("por_unidad") + 1e-7, 4).alias("por_unidad"))
 

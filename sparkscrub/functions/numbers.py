@@ -19,9 +19,9 @@ def is_date_type(dtype: T.DataType) -> bool:
 
 
 def finite(c: Column) -> Column:
-    """Double without NaN."""
+    """Double without NaN and infinities."""
     value = c.cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def strict_number(c: Column) -> Column:
@@ -131,13 +131,12 @@ def is_whole(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A number as people write it: 12.0 -> '12', no scientific notation below 1e15."""
-    whole = is_whole(c) & (F.abs(c) < 1e15)
-    return (
-        F.when(whole, c.cast("decimal(18,0)").cast("string"))
-        .when(F.abs(c) < 1e15, F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"\.?0+$", ""))
-        .otherwise(c.cast("string"))
-    )
+    """A number as people write it: 12.0 -> '12', whole numbers up to 2^53 in full, others without cutting digits."""
+    whole = is_whole(c) & (F.abs(c) <= float(1 << 53))
+    # the shortest text that reads back as the same number; written in full where that takes at most 12 decimals
+    full = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    exact = (F.abs(c) < 1e15) & (full.try_cast("double") == c)
+    return F.when(whole, c.cast("decimal(18,0)").cast("string")).when(exact, full).otherwise(c.cast("string"))
 
 
 def decimals_in_use(c: Column, most: int = 6) -> Column:

@@ -55,6 +55,10 @@ def find_column(columns: list[str], name: str) -> str:
     raise ValueError(f"la columna [{name}] no existe; hay: {', '.join(columns[:15])}")
 
 
+def named_columns(expression: str) -> list[str]:
+    return [n.strip() for n in re.findall(r"\[([^\[\]]+)\]", expression)]
+
+
 def parse_derived(text: str) -> dict[str, str]:
     """'margen = [a] / [b]' -> {'nombre': ..., 'expresion': ...}."""
     name, equals, expression = text.partition("=")

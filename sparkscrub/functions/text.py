@@ -73,7 +73,7 @@ def valid_state(c: Column, valid=V.VALID_STATES) -> Column:
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
 
 
 def proper_case(c: Column) -> Column:

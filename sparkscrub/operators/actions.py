@@ -114,9 +114,12 @@ def clip(value: Column, low, high) -> Column:
 
 # -- individual corrections (ACT-9, ACT-10) --------------------------------------------------------------------
 def attach_corrections(df: DataFrame, corrections: DataFrame, row_id: str) -> DataFrame:
-    """Corrections (tipo, columna, fila, valor) become one map per row, joined on the unique row id."""
-    per_row = corrections.groupBy(F.col("fila").alias(row_id)).agg(F.map_from_entries(F.collect_set(
-        F.struct(F.concat_ws("\u0001", "tipo", "columna"), "valor"))).alias("__edits"))
+    """Corrections (tipo, columna, fila, valor) become one map per row, joined on the unique row id.
+
+    Of several corrections of one cell the last counts: the largest `orden` when the table has that column, else the largest value."""
+    order = F.struct("orden", "valor") if "orden" in corrections.columns else F.struct("valor")
+    cells = corrections.groupBy(F.col("fila").alias(row_id), F.concat_ws("\u0001", "tipo", "columna").alias("cell")).agg(F.max(order)["valor"].alias("valor"))
+    per_row = cells.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("cell", "valor"))).alias("__edits"))
     return df.join(per_row, row_id, "left")
 
 
@@ -262,14 +265,11 @@ def clean(analysis: Analysis, config: dict[str, str] | None = None, fixed: dict
     heavy = set(profile.heavy_tailed([c for c in outlier_cols if c not in guarded])) if clips and outlier_cols else set()
     limits = winsor_limits(profile, outlier_cols, factor) if config["atipico"] == "limitar" and outlier_cols else {}
     limits.update({c: logical_limits(c) for c in heavy})
-    needs = {}
+    needs: dict[str, dict[str, str]] = {}  # one column may need several statistics
     for k in checks:
         if config[k.tipo] in STATISTICAL and k.tipo in ("faltante", "tipo_invalido", "atipico") and k.columna not in guarded:
-            needs[k.columna] = config[k.tipo]
-    per_action: dict[str, dict[str, object]] = {}
-    for action in set(needs.values()):
-        columns = {k.columna: action for k in checks if config[k.tipo] == action and k.columna in needs}
-        per_action[action] = replacements(profile, columns)
+            needs.setdefault(config[k.tipo], {})[k.columna] = config[k.tipo]
+    per_action = {action: replacements(profile, columns) for action, columns in needs.items()}
     none, nothing, yes, no = F.lit(None).cast("string"), F.lit(""), F.lit(True), F.lit(False)
 
     def literal(value) -> Column:

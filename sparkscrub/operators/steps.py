@@ -15,10 +15,10 @@ from ..functions import vocab as V
 from ..plans.profile import Profile, bounded_scale, fences, is_empty, number_facts
 from ..plans.quantiles import column_quantiles, group_median
 from . import formula as formula_of
+from ..session import fresh_path
 from .rows import literal_map, q
 from .variants import suggest_equivalences
 
-GROUPS_IN_RECIPE = 2_000
 RULES = ("dejar", "no_indica", "valor_fijo", "cero", "mediana", "media", "moda", "mediana_por_grupo", "eliminar_fila",
          "eliminar_columna")
 LIMIT_ACTIONS = ("nulo", "limitar", "eliminar_fila", "marcar")
@@ -197,7 +197,14 @@ def fit_filters(df: DataFrame, filters: list) -> dict:
     missing = [c for c, _, _ in parsed if c not in df.columns]
     if missing:
         raise ValueError(f"el filtro usa columnas que no existen: {', '.join(missing)}")
-    return {"tipo": "filtros", "filtros": [list(f) for f in parsed]}
+    return {"tipo": "filtros", "filtros": [list(f) for f in parsed], "coma_decimal": _commas(df, [c for c, _, v in parsed if isinstance(v, (int, float))])}
+
+
+def _commas(df: DataFrame, columns: list[str]) -> list[str]:
+    """Text columns whose values vote for a decimal comma: the vote is frozen in the step."""
+    textual = [c for c in dict.fromkeys(columns) if isinstance(df.schema[c].dataType, T.StringType)]
+    profile = Profile(df, textual) if textual else None
+    return [c for c in textual if profile.guided_comma(c)]
 
 
 def impossible_limits(profile: Profile, columns: list[str] | None = None) -> dict[str, tuple]:
@@ -264,8 +271,10 @@ def fit_formula(profile: Profile, action: str = "marcar") -> dict | None:
     return None if rule is None else {"tipo": "formulas", "reglas": [rule], "accion": action, "coma_decimal": commas}
 
 
-def fit_derived(derived: list) -> dict:
-    return {"tipo": "derivadas", "items": [rules.parse_derived(d) if isinstance(d, str) else d for d in derived]}
+def fit_derived(df: DataFrame, derived: list) -> dict:
+    items = [rules.parse_derived(d) if isinstance(d, str) else d for d in derived]
+    used = [rules.find_column(df.columns, n) for i in items for n in rules.named_columns(i["expresion"]) if n not in {x["nombre"] for x in items}]
+    return {"tipo": "derivadas", "items": items, "coma_decimal": _commas(df, used)}
 
 
 def fit_equivalences(rows: list[dict]) -> dict:
@@ -309,12 +318,10 @@ def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str
                 raise ValueError("elija una columna de grupo válida para la mediana por grupo")
             step.update(grupo=group, decimales=places)
             medians = group_median(df, group, data).filter("mediana is not null")
-            few = medians.limit(GROUPS_IN_RECIPE + 1).collect()
-            if len(few) <= GROUPS_IN_RECIPE:
-                step["por_grupo"] = [[None if r["grupo"] is None else str(r["grupo"]), round(r["mediana"], places)] for r in few]
-                step["entero"] = step["entero"] and all(m.is_integer() for _, m in step["por_grupo"])
-            else:
-                step["entero"] = False
+            step["tabla"] = fresh_path(df.sparkSession, "medianas")  # the recipe names the table, whatever its size
+            medians.select(F.col("grupo").cast("string").alias("grupo"), F.round("mediana", places).alias("mediana")).write.parquet(step["tabla"])
+            whole = _medians(df.sparkSession, step).agg(F.bool_and(numbers.is_whole(F.col("__median")))).first()[0]
+            step["entero"] = step["entero"] and bool(whole)
         step["entero"] = step["entero"] and float(step["relleno"]).is_integer()
         return step
     if rule == "cero":
@@ -412,15 +419,16 @@ def _apply_dates(df, step):
 
 
 def _apply_filters(df, step):
-    return df.filter(reduce(lambda a, b: a & b, [rules.filter_condition(df, *f) for f in step["filtros"]]))
+    return df.filter(reduce(lambda a, b: a & b, [rules.filter_condition(df, *f, decimal_comma=f[0] in step["coma_decimal"]) for f in step["filtros"]]))
 
 
 def _apply_duplicates(df, step):
     keys = [c for c in df.columns if c not in step.get("ignorar", [])]
     if len(keys) == len(df.columns):
         return df.dropDuplicates()
-    extra = [F.min(q(c)).alias(c) for c in df.columns if c not in keys]
-    return df.groupBy(*[q(k) for k in keys]).agg(*extra).select(*[q(c) for c in df.columns])
+    extra = [c for c in df.columns if c not in keys]
+    kept = df.groupBy(*[q(k) for k in keys]).agg(F.min(F.struct(*[q(c) for c in extra])).alias("__one"))  # one whole row, the smallest
+    return kept.select(*[q(c) if c in keys else F.col("__one")[c].alias(c) for c in df.columns])
 
 
 def _apply_limits(df, step):
@@ -470,7 +478,7 @@ def _apply_derived(df, step):
     for item in step["items"]:
         if item["nombre"] in df.columns:
             raise ValueError(f"ya existe una columna llamada «{item['nombre']}»")
-        df = df.withColumn(item["nombre"], rules.derived_column(df, item["expresion"]))
+        df = df.withColumn(item["nombre"], rules.derived_column(df, item["expresion"], step["coma_decimal"]))
     return df
 
 
@@ -493,7 +501,7 @@ def _apply_rule(df, step):
         number = numbers.parse_number(q(c), dtype, step.get("coma_decimal", False))
         fill: Column = F.lit(float(step["relleno"]))
         if rule == "mediana_por_grupo":
-            df, fill = _group_fill(df, step, number, empty, fill)
+            df, fill = _group_fill(df, step, fill)
         out = F.when(empty, fill).otherwise(number).cast("long" if step.get("entero") else "double")
         return df.withColumn(c, out).drop("__median")
     if numbers.is_numeric_type(dtype):
@@ -501,25 +509,17 @@ def _apply_rule(df, step):
     return df.withColumn(c, F.when(empty, F.lit(str(step["relleno"]))).otherwise(q(c).cast("string")))
 
 
-def _group_fill(df, step, number, empty, fallback):
+def _group_fill(df, step, fallback):
     """The group's median, or the whole column's for groups without data."""
-    group = q(step["grupo"])
-    if "por_grupo" in step:
-        named = {k: v for k, v in step["por_grupo"] if k is not None}
-        unnamed = next((v for k, v in step["por_grupo"] if k is None), None)
-        known = F.element_at(F.from_json(F.lit(_json(named)), "map<string,double>"), group.cast("string"))
-        known = F.when(group.isNull(), F.lit(unnamed).cast("double")).otherwise(known)
-        return df, F.coalesce(known, fallback)
-    medians = group_median(df, step["grupo"], F.when(~empty, number)).select(
-        F.col("grupo").alias("__g"), F.round("mediana", step["decimales"]).alias("__median"))
-    joined = df.join(medians, group.eqNullSafe(F.col("__g")), "left").drop("__g")
+    medians = _medians(df.sparkSession, step)
+    joined = df.join(medians, q(step["grupo"]).cast("string").eqNullSafe(F.col("__g")), "left").drop("__g")
     return joined, F.coalesce(F.col("__median"), fallback)
 
 
-def _json(value) -> str:
-    import json
-
-    return json.dumps(value)
+def _medians(spark, step) -> DataFrame:
+    """The fitted medians that the recipe names: (__g, __median), one row per group."""
+    table = spark.read.schema("grupo string, mediana double").parquet(step["tabla"])
+    return table.select(F.col("grupo").alias("__g"), F.col("mediana").alias("__median"))
 
 
 def _apply_closing(df, step):

@@ -1,8 +1,9 @@
 """Exact quantiles and running totals that stay distributed.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is fine while the group is small; a larger
-group is resolved by narrowing brackets around the wanted ranks with histograms, so that no task ever holds a
-group: each pass reads the data once and shuffles at most ``BUCKETS`` rows per bracket and input partition.
+``percentile`` keeps every distinct value of a group in one buffer, which is fine while the group is small. Beyond that two scans do it:
+the first sketches the quantiles, which gives a pair of values around every wanted rank whose ranks are close together for certain; the
+second counts what lies below and on each pair and lists what lies strictly between. The list is bounded by the sketch's rank error, whatever
+the values are. NaN and infinities are no values on either path.
 """
 
 from __future__ import annotations
@@ -15,10 +16,41 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 GROUP_LIMIT = 1_000_000  # rows of one group that a buffer or a single window may hold
-PERCENTILE_LIMIT = 100_000  # beyond this many rows brackets are quicker than percentile()
-BUCKETS = 1024
-DRIVER_ROWS = 200_000  # histogram rows or candidate values that may reach the driver in one pass
-MAX_HOT_KEYS = 10_000
+PERCENTILE_LIMIT = 100_000  # beyond this many rows two scans are quicker than percentile()
+ACCURACY = 10_000  # rank error of the sketch: rows / ACCURACY
+COLUMNS_PER_JOB = 40
+
+
+def _value(c: Column) -> Column:
+    v = c.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
+def _accuracy(rows: int) -> int:
+    """Keeps the list between two sketched quantiles near 5 / ACCURACY of the rows, and below some hundred thousand values."""
+    return min(1_000_000, max(ACCURACY, rows // 20_000))
+
+
+def _around(probs: list[float], rows: int) -> list[float]:
+    """Per wanted quantile a lower and an upper probability whose sketched values enclose its two ranks."""
+    slack = 1.5 / _accuracy(rows) + 2 / max(rows, 1)
+    return [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+
+
+def _second_scan(v: Column, low: Column, high: Column) -> list[Column]:
+    return [F.count_if(v < low), F.count_if(v == low), F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))), F.count_if(v == high)]
+
+
+def _at_rank(rank: int, low: float, high: float, below: int, on_low: int, between: list[float], on_high: int) -> float:
+    rank -= below
+    if 0 <= rank < on_low:
+        return low
+    rank -= on_low
+    if 0 <= rank < len(between):
+        return between[rank]
+    if len(between) <= rank < len(between) + on_high:
+        return high
+    raise ValueError("the quantile sketch missed its bound")
 
 
 def _ranks(n: int, probs: list[float]) -> list[int]:
@@ -38,96 +70,78 @@ def _interpolate(n: int, probs: list[float], at: dict[int, float]) -> list[float
     return out
 
 
-def _select_ranks(data: DataFrame, keys: list[str], value: str, groups: list) -> dict[tuple, dict[int, float]]:
-    """Order statistics of a bounded list of groups: {key: {rank: value}}. `groups` hold key, n, lo, hi, probs.
-
-    A bracket is a value range known to hold some wanted ranks and the number of rows below it. Every pass cuts all
-    brackets into buckets, until the values inside them are few enough to be listed."""
-    found: dict[tuple, dict[int, float]] = {tuple(g["key"]): {} for g in groups}
-    brackets = [(tuple(g["key"]), g["lo"], g["hi"], 0, g["n"], _ranks(g["n"], g["probs"])) for g in groups]
-    kinds = ", ".join(f"`{k}` {data.schema[k].dataType.simpleString()}" for k in keys)
-    while brackets:
-        for key, low, high, _, _, ranks in brackets:
-            if low == high:
-                found[key].update(dict.fromkeys(ranks, low))
-        brackets = [x for x in brackets if x[1] != x[2]]
-        if not brackets:
-            break
-        # A few ranges per hot key, counted by the caller: safe to ship to every task.
-        table = data.sparkSession.createDataFrame(
-            [(*key, i, float(low), float(high)) for i, (key, low, high, *_) in enumerate(brackets)], f"{kinds}, __b int, __lo double, __hi double")
-        on = [data[k].eqNullSafe(table[k]) for k in keys]
-        inside = (data[value] >= table["__lo"]) & (data[value] <= table["__hi"])
-        joined = data.join(F.broadcast(table), [*on, inside])
-        listed = sum(n for *_, n, _ in brackets) <= DRIVER_ROWS
-        if listed:
-            cells = joined.groupBy("__b", data[value].alias("__lo2")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__hi2", F.col("__lo2"))
-        else:
-            cuts = max(16, min(BUCKETS, DRIVER_ROWS // len(brackets)))
-            width = table["__hi"] / cuts - table["__lo"] / cuts
-            slot = F.coalesce(F.least(F.floor((data[value] - table["__lo"]) / F.nullif(width, F.lit(0.0))), F.lit(cuts - 1)), F.lit(0))
-            cells = joined.groupBy("__b", slot.alias("__slot")).agg(
-                F.count(F.lit(1)).alias("__n"), F.min(data[value]).alias("__lo2"), F.max(data[value]).alias("__hi2"))
-        parts: dict[int, list] = {}
-        for row in cells.collect():  # at most DRIVER_ROWS rows
-            parts.setdefault(row["__b"], []).append((row["__lo2"], row["__hi2"], row["__n"]))
-        narrower = []
-        for i, (key, _, _, below, _, ranks) in enumerate(brackets):
-            for low, high, n in sorted(parts[i]):
-                mine = [r for r in ranks if below <= r < below + n]
-                if mine:
-                    narrower.append((key, low, high, below, n, mine))
-                below += n
-        brackets = narrower
-    return found
-
-
 def column_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], rows: int | None = None,
                      known: dict[str, dict] | None = None, limit: int = PERCENTILE_LIMIT) -> dict[str, list[float] | None]:
-    """Exact linear-interpolated quantiles of several columns: one job while they fit a buffer, else brackets."""
+    """Exact linear-interpolated quantiles of several columns: one job while they fit a buffer, else two wide scans.
+
+    `known` is accepted for callers that have facts already; the scans do not need them."""
     if not values:
         return {}
-    names = list(values)
     rows = df.count() if rows is None else rows
-    if rows <= limit:
-        row = df.agg(*[F.percentile(c, [float(p) for p in probs]).alias(f"q{i}")
-                       for i, c in enumerate(values.values())]).first()
-        return {name: row[f"q{i}"] for i, name in enumerate(names)}
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), values[n].alias("v")) for n in names]))
-    long = df.select(pairs.alias("p")).select(F.col("p.c").alias("columna"), F.col("p.v").alias("v")).filter("v is not null")
-    known = dict(known or {})  # facts already measured: n, min and max per column
-    if any(c not in known for c in names):
-        stats = long.filter(~F.col("columna").isin(*known)) if known else long
-        for r in stats.groupBy("columna").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")).collect():
-            known[r["columna"]] = r.asDict()
-    groups = [{"key": (c,), "n": f["n"], "lo": f["min"], "hi": f["max"], "probs": probs} for c, f in known.items() if c in values and f["n"]]
-    ranks = _select_ranks(long, ["columna"], "v", groups)
-    out: dict[str, list[float] | None] = {name: None for name in names}
-    for g in groups:
-        out[g["key"][0]] = _interpolate(g["n"], probs, ranks[g["key"]])
+    out: dict[str, list[float] | None] = {}
+    names = list(values)
+    for start in range(0, len(names), COLUMNS_PER_JOB):
+        own = names[start:start + COLUMNS_PER_JOB]
+        narrow = df.select(*[_value(values[n]).alias(f"v{i}") for i, n in enumerate(own)])
+        if rows <= limit:
+            row = narrow.agg(*[F.percentile(f"v{i}", [float(p) for p in probs]).alias(f"q{i}") for i in range(len(own))]).first()
+            out.update({n: row[f"q{i}"] for i, n in enumerate(own)})
+            continue
+        around = _around(probs, rows)
+        first = narrow.agg(*[c for i in range(len(own)) for c in (F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"),
+                                                                 F.percentile_approx(f"v{i}", around, _accuracy(rows)).alias(f"q{i}"))]).first()
+        pairs = {}
+        for i in range(len(own)):
+            if first[f"n{i}"]:
+                wide = _around(probs, first[f"n{i}"])  # fewer filled rows make the two ranks relatively further apart
+                found = first[f"q{i}"] if wide == around else narrow.agg(F.percentile_approx(f"v{i}", wide, _accuracy(rows))).first()[0]
+                for k in range(len(probs)):
+                    low = first[f"a{i}"] if wide[2 * k] == 0 else found[2 * k]
+                    high = first[f"z{i}"] if wide[2 * k + 1] == 1 else found[2 * k + 1]
+                    pairs[i, k] = (low, high)
+        aggs = [c.alias(f"{'leih'[j]}{i}_{k}") for (i, k), (low, high) in pairs.items()
+                for j, c in enumerate(_second_scan(F.col(f"v{i}"), F.lit(low), F.lit(high)))]
+        second = narrow.agg(*aggs).first() if aggs else {}
+        for i, n in enumerate(own):
+            if not first[f"n{i}"]:
+                out[n] = None
+                continue
+            at = {}
+            for k, p in enumerate(probs):
+                for rank in _ranks(first[f"n{i}"], [p]):
+                    at[rank] = _at_rank(rank, *pairs[i, k], *[second[f"{x}{i}_{k}"] for x in "leih"])
+            out[n] = _interpolate(first[f"n{i}"], probs, at)
     return out
 
 
 def group_median(df: DataFrame, group: str, value: Column, limit: int = GROUP_LIMIT) -> DataFrame:
     """(grupo, mediana, n) with an exact median per group, NULL being a group of its own.
 
-    Groups above `limit` rows are taken apart with brackets; they are at most rows/limit, so their list is short."""
-    data = df.select(F.col(f"`{group}`").alias("grupo"), value.alias("v"))
-    sizes = data.groupBy("grupo").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    hot = sizes.filter(F.col("n") > limit).limit(MAX_HOT_KEYS + 1).collect()
-    if len(hot) > MAX_HOT_KEYS:  # even spread over very many large groups: one bounded buffer per group is fine
-        limit, hot = max(r["n"] for r in hot), []
-    if not hot:
+    When some group is larger than `limit`, every group goes through the two scans; the pairs join the rows by group, a join that adaptive
+    execution can split when a group is hot."""
+    data = df.select(F.col(f"`{group}`").alias("grupo"), _value(value).alias("v"))
+    most = data.groupBy("grupo").agg(F.count("v").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= limit:
         return data.groupBy("grupo").agg(F.percentile("v", F.lit(0.5)).alias("mediana"), F.count("v").alias("n"))
-    groups = [{"key": (r["grupo"],), "n": r["n"], "lo": r["lo"], "hi": r["hi"], "probs": [0.5]} for r in hot]
-    present = data.filter("v is not null")
-    ranks = _select_ranks(present, ["grupo"], "v", groups)
-    solved = [(g["key"][0], _interpolate(g["n"], [0.5], ranks[g["key"]])[0], g["n"]) for g in groups]
-    kind = data.schema["grupo"].dataType.simpleString()
-    solved_df = df.sparkSession.createDataFrame(solved, f"grupo {kind}, mediana double, n long")
-    keys = F.broadcast(solved_df.select(F.col("grupo").alias("__g")))  # at most MAX_HOT_KEYS rows
-    rest = data.join(keys, data["grupo"].eqNullSafe(keys["__g"]), "left_anti")
-    return rest.groupBy("grupo").agg(F.percentile("v", F.lit(0.5)).alias("mediana"), F.count("v").alias("n")).unionByName(solved_df)
+    accuracy = _accuracy(most)
+    slack = 1.5 / accuracy
+    pairs = data.groupBy("grupo").agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"),
+                                      F.percentile_approx("v", [0.5 - slack, 0.5 + slack], accuracy).alias("q"))
+    sure = F.col("n") >= 8 * accuracy // 3  # below that a sketch of this accuracy is exact but its two ranks need not enclose both middles
+    pairs = pairs.select(F.col("grupo").alias("g"), "n", F.when(sure, F.col("q")[0]).otherwise(F.col("a")).alias("low"),
+                         F.when(sure, F.col("q")[1]).otherwise(F.col("z")).alias("high"))
+    joined = data.join(pairs, F.col("grupo").eqNullSafe(F.col("g")))
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    counts = joined.groupBy("grupo", "n", "low", "high").agg(*[c.alias(x) for x, c in zip(("below", "on_low", "between", "on_high"), _second_scan(v, low, high))])
+
+    def at(rank: Column) -> Column:
+        r = rank - F.col("below")
+        inner = r - F.col("on_low")
+        return F.when(r < F.col("on_low"), F.col("low")).when(inner < F.size("between"), F.get("between", inner.cast("int"))).otherwise(F.col("high"))
+
+    last = F.col("n") - 1
+    median = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    return counts.select("grupo", F.when(F.col("n") > 0, median).alias("mediana"), "n")
 
 
 def running_total(df: DataFrame, part: list[str], order: list[str], value: str, out: str, rows: int | None = None,

@@ -115,7 +115,7 @@ def fit(df: DataFrame, config: dict, overrides: dict[str, dict] | None = None, w
     if config["formulas"]:
         add(S.fit_formula(profiled(), config["formulas"]))
     if config["derivadas"]:
-        add(S.fit_derived(config["derivadas"]))
+        add(S.fit_derived(df, config["derivadas"]))
     if unify:
         rows = equivalences if equivalences is not None else [
             r.asDict() for r in suggest_equivalences(profiled(), word=word).collect()]  # columns x 30 at most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +18,31 @@ _C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 _C1_LATIN, _C1_WINDOWS = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
 TEXT_EXTENSIONS = (".csv", ".txt", ".tsv", ".tab")
 SEPARATORS = (",", ";", "\t", "|")
-SNIFF_BYTES = 1 << 16
+HEAD_BYTES = 1 << 16  # for the header and separator of a file; data are never judged by it
 
 
-def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """Encoding from the byte-order mark of the first file, else UTF-8 when its start decodes, else cp1252 / latin-1.
+def sniff_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """{encoding: files}, decided per file from all of its bytes.
 
-    Only the first kilobytes travel to the driver (Hadoop's own input stream), whatever the file's size."""
-    head = _head_bytes(spark, path, SNIFF_BYTES)
-    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "UTF-16"
-    for encoding in ("UTF-8", "windows-1252"):
-        try:
-            head.decode(encoding)
-            return encoding
-        except UnicodeDecodeError as error:
-            if encoding == "UTF-8" and len(head) == SNIFF_BYTES and error.start >= len(head) - 3:
-                return encoding  # a character cut by the sniffing limit
-    return "ISO-8859-1"
+    A byte-order mark of UTF-16 in the first file speaks for all files. Otherwise the lines are read as raw bytes, in splits, and a file is
+    UTF-8 when all its lines are, else Windows-1252, or Latin-1 when it has bytes that the former leaves undefined."""
+    if _head_bytes(spark, path, 2) in (b"\xff\xfe", b"\xfe\xff"):
+        return {"UTF-16": [path]}
+    line = F.col("value")
+    undefined = ~F.is_valid_utf8(line) & F.hex(line.cast("binary")).rlike("^(..)*(81|8D|8F|90|9D)")
+    files = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(undefined).alias("odd"))
+    kinds = files.groupBy(F.when(F.col("utf8"), "UTF-8").when(F.col("odd"), "ISO-8859-1").otherwise("windows-1252").alias("kind"))
+    found = kinds.agg(F.count("*").alias("n")).collect()
+    if len(found) <= 1:
+        return {found[0]["kind"] if found else "UTF-8": [path]}
+    return {r["kind"]: sorted(r["files"]) for r in kinds.agg(F.collect_list("file").alias("files")).collect()}
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a quoted cell may go on in the next line."""
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+    return bool(spark.read.text(path).agg(F.bool_or(odd)).first()[0])
 
 
 def _head_bytes(spark: SparkSession, path: str, size: int) -> bytes:
@@ -72,32 +80,44 @@ def sniff_separator(head: list[str]) -> tuple[str, bool]:
 
 
 def read_text_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """SRC-1 / SRC-3: every column as text. Surplus cells become columna_extra_N, short rows are padded with NULL."""
-    encoding = encoding or sniff_encoding(spark, path)
-    head = _head_bytes(spark, path, SNIFF_BYTES).decode(encoding, "ignore").lstrip("﻿").splitlines()
+    """SRC-1 / SRC-3: every column as text. Surplus cells become columna_extra_N, short rows are padded with NULL.
+
+    The first record of every file is its header, whatever later rows hold. Files are split unless a quoted line break is seen. Files of
+    different encodings are read apart and put together."""
+    encodings = {encoding: [path]} if encoding else sniff_encodings(spark, path)
+    kind = next(iter(encodings))
+    head = _head_bytes(spark, path, HEAD_BYTES).decode("ISO-8859-1" if kind != "UTF-16" and kind != "UTF-8" else kind, "ignore").lstrip("\ufeff").splitlines()
     if not any(line.strip() for line in head):
         raise ValueError("el archivo está vacío: no tiene encabezados ni datos")
     found, named = sniff_separator(head)
     sep = sep or found
-    windows, spark_encoding = encoding == "windows-1252", "ISO-8859-1" if encoding == "windows-1252" else encoding
-    quoted = {"sep": sep, "encoding": spark_encoding, "multiLine": "true", "escape": '"', "mode": "PERMISSIVE",
-              "enforceSchema": "true"}
     header_line = next(line for line in head[1 if named else 0:] if line.strip())
-    header = names.repair_header(_split_line(spark, header_line, sep))
-    wide = max(len(header), _width(spark, path, sep, spark_encoding))
+    if kind == "windows-1252":
+        header_line = header_line.translate(str.maketrans(_C1_LATIN, _C1_WINDOWS))
+    first_cells = _split_line(spark, header_line, sep)
+    header = names.repair_header(first_cells)
+    several = "UTF-16" in encodings or has_line_breaks(spark, path)
+    wide = max(len(header), _width(spark, path, sep, "ISO-8859-1" if kind != "UTF-16" else kind))
     columns = header + [f"columna_extra_{i}" for i in range(len(header) + 1, wide + 1)]
     schema = ", ".join(f"`c{i}` string" for i in range(len(columns)))
-    raw = spark.read.options(**quoted).schema(schema).csv(path)
-    if windows:
-        raw = raw.select(*[F.translate(q(c), _C1_LATIN, _C1_WINDOWS).alias(c) for c in raw.columns])
-    skip = [header_line] + ([head[0]] if named else [])
-    first_cells = [_split_line(spark, line, sep) for line in skip]
-    for cells in first_cells:  # the header and the sep= line, wherever each file of a folder repeats them
-        same = F.lit(True)
-        for i, cell in enumerate(cells):
-            own = F.regexp_replace(q(f"c{i}"), "^﻿", "") if i == 0 else q(f"c{i}")
-            same = same & own.eqNullSafe(F.lit(cell if cell != "" else None))
-        raw = raw.filter(~same)
+    parts = []
+    for name, files in encodings.items():
+        options = {"sep": sep, "encoding": "ISO-8859-1" if name == "windows-1252" else name, "multiLine": str(several).lower(), "escape": '"', "mode": "PERMISSIVE",
+                   "enforceSchema": "true", "header": "true"}
+        raw = spark.read.options(**options).schema(schema).csv(files)
+        if name == "windows-1252":
+            raw = raw.select(*[F.translate(q(c), _C1_LATIN, _C1_WINDOWS).alias(c) for c in raw.columns])
+        parts.append(raw)
+    raw = reduce(DataFrame.unionByName, parts)
+    if named:  # the sep= line was taken for the header: the header itself is the row equal to it
+        same = [q(f"c{i}").eqNullSafe(F.lit(cell if cell != "" else None)) for i, cell in enumerate(first_cells)]
+        raw = raw.filter(~reduce(lambda x, y: x & y, same))
+    if several and wide > len(header):  # separators inside quoted line breaks were counted as cells
+        extra = [f"c{i}" for i in range(len(header), wide)]
+        used = raw.agg(*[F.count(c).alias(c) for c in extra]).first()
+        kept = max((i + 1 for i, c in enumerate(extra) if used[c]), default=0)
+        columns = columns[:len(header) + kept]
+        raw = raw.select(*raw.columns[:len(columns)])
     return raw.toDF(*columns)
 
 

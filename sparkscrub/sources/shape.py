@@ -82,7 +82,13 @@ def stack(tables: dict[str, DataFrame], source: str = "_hoja") -> DataFrame:
 def name_tables(files: dict[str, dict[str, DataFrame]], wanted: list[str] | None = None) -> dict[str, DataFrame]:
     """SRC-10: {file: {table: df}} flattened; a table name used by two files becomes file__table."""
     seen = [t for inner in files.values() for t in inner]
-    out = {(f"{file}__{t}" if seen.count(t) > 1 else t): df for file, inner in files.items() for t, df in inner.items()}
+    out: dict[str, DataFrame] = {}
+    for file, inner in files.items():
+        for t, df in inner.items():
+            name = f"{file}__{t}" if seen.count(t) > 1 else t
+            while name in out or (name != t and name in seen):
+                name += "_"
+            out[name] = df
     if wanted is not None:
         missing = [t for t in wanted if t not in out]
         if missing:

@@ -65,13 +65,30 @@ def read_table(spark: SparkSession, source: str, kind: str = "auto", **options)
     raise ValueError(f"no se pudo detectar el tipo de fuente de '{source}'; indique kind='csv', 'parquet', 'orc', 'json' o 'sql'")
 
 
+def shortest_names(folders: set[str]) -> dict[str, str]:
+    """The fewest last parts of each folder's path that tell it from the others."""
+    out = {}
+    for folder in folders:
+        parts = folder.split("/")
+        for n in range(1, len(parts) + 1):
+            tail = "/".join(parts[-n:])
+            if n == len(parts) or sum(f == tail or f.endswith("/" + tail) for f in folders) == 1:
+                break
+        out[folder] = tail
+    return out
+
+
 def read_tables(spark: SparkSession, sources: list[str], wanted: list[str] | None = None, **options) -> dict[str, DataFrame]:
     """SRC-10 over files: each file is a table named after it."""
     def stem(path: str) -> str:
         return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
-    folders = {}
-    for path in sources:
-        parent = path.rstrip("/").rsplit("/", 2)[-2] if "/" in path.rstrip("/") else "datos"
-        folders.setdefault(parent, {})[stem(path)] = read_table(spark, path, **options)
-    return name_tables(folders, wanted)
+    paths = list(dict.fromkeys(p.rstrip("/") for p in sources))
+    folders = {p: (p.rsplit("/", 1)[0] if "/" in p else "datos") for p in paths}
+    short = shortest_names(set(folders.values()))
+    tables: dict[str, dict[str, DataFrame]] = {}
+    for p in paths:
+        tables.setdefault(short[folders[p]], {})
+        name = stem(p) if stem(p) not in tables[short[folders[p]]] else p.rsplit("/", 1)[-1]
+        tables[short[folders[p]]][name] = read_table(spark, p, **options)
+    return name_tables(tables, wanted)

@@ -13,7 +13,7 @@ from tests.oracle import compare, connect  # noqa: E402
 if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     prefixes = tuple(sys.argv[2].split(",")) if len(sys.argv) > 2 else ("",)
-    spark, con = local_session(), connect(sf_dir)
+    spark, con = local_session(os.environ.get("CORES", "8")), connect(sf_dir)
     oracle = entry.oracle_sql()
     good = bad = 0
     for name, function in entry.queries().items():
