@@ -178,3 +178,45 @@ def _accent_table() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accent_table()
+
+# --- Fixed values: concept words of column names, in order of precedence ---------------------------
+CONCEPTS = {
+    "resultado": "churn cancelacion cancelo cancel abandono abandon fuga fraude fraud mora morosidad default impago "
+                 "conversion convirtio retencion retuvo survived supervivencia sobrevivio renovo renovacion recompra "
+                 "desercion deserto",
+    "contacto": "email correo mail telefono tel celular movil phone whatsapp",
+    "geografia": "pais country ciudad city provincia province canton distrito region municipio localidad "
+                 "barrio zona direccion address calle postal zip",
+    "edad": "edad age",
+    "tasa": "porcentaje pct percent tasa rate ratio proporcion indice index",
+    "puntaje": "score rating puntaje puntuacion calificacion nota satisfaccion nps evaluacion ranking",
+    "duracion": "duracion antiguedad tenure plazo demora retraso delay dias horas minutos segundos meses anios "
+                "tiempo days hours minutes seconds months years",
+    "tiempo_parte": "anio ano year mes month dia day semana week trimestre quarter hora hour periodo period",
+    "cantidad": "cantidad qty quantity unidad unit pieza volumen stock inventario existencia conteo count n num "
+                "nro numero visita intento reclamo hijo compra pedido queja devolucion llamada falla accidente "
+                "multa incidente dependiente",
+    "dinero": "precio price costo cost monto amount importe total ingreso income revenue venta sale pago payment "
+              "tarifa fare fee comision salario salary sueldo saldo balance margen utilidad profit ganancia deuda "
+              "debt gasto expense descuento discount impuesto tax iva prima premium cargo charge valor value "
+              "presupuesto budget flete credito deposito retiro propina tip",
+    "fisica": "peso weight altura height talla ancho largo profundidad temperatura temp presion velocidad "
+              "distancia distance superficie capacidad potencia consumo kilometraje km humedad",
+    "organizacion": "sucursal tienda store branch departamento department area equipo team empresa company sede "
+                    "oficina almacen bodega agencia",
+    "producto": "producto product articulo categoria category marca brand modelo model linea familia plato receta "
+                "servicio service plan",
+    "persona": "cliente customer usuario user empleado employee paciente patient estudiante student alumno "
+               "proveedor supplier vendedor seller agente agent socio miembro member persona person apellido "
+               "solicitante beneficiario asegurado conductor medico doctor profesor teacher",
+    "demografia": "sexo sex genero gender nacionalidad ocupacion profesion escolaridad educacion "
+                  "education civil marital idioma",
+    "canal": "canal channel metodo method medio forma modalidad fuente source plataforma platform "
+             "dispositivo device campana campaign",
+    "proceso": "estado status etapa fase situacion resultado result condicion motivo razon reason causa cause "
+               "prioridad priority severidad riesgo nivel level grado tipo type clase class",
+    "texto_libre": "comentario comment observacion observation descripcion description detalle detail mensaje message "
+                   "opinion resena review texto text asunto subject nota",
+    "nombre": "nombre name titulo title etiqueta label",
+}
+GROUPING_CONCEPTS = ("resultado", "geografia", "tiempo_parte", "organizacion", "producto", "persona", "demografia", "canal", "proceso")

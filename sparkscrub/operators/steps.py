@@ -93,31 +93,28 @@ def _distinct_numbers(profile: Profile, columns: list[str]) -> dict[str, int]:
     return {r["columna"]: r["count"] for r in cells.distinct().groupBy("columna").count().collect()}
 
 
+#: Null rules in order of precedence: (rule, roles it is for, condition on the share of nulls, the name's words and the numeric profile).
+_ANY, _NUMBER = None, ("numerica",)
+NULL_RULES = [
+    ("dejar", _ANY, lambda p, w, f: p == 0),
+    ("eliminar_columna", _ANY, lambda p, w, f: p >= 100),
+    ("no_indica", ("id",), lambda p, w, f: p >= 5),
+    ("eliminar_fila", ("id", "coordenada"), lambda p, w, f: True),
+    ("cero", _NUMBER, lambda p, w, f: w & set(V.SURVEY_WORDS)),
+    ("no_indica", _NUMBER, lambda p, w, f: w & set(V.YEAR_WORDS)),
+    ("dejar", _NUMBER, lambda p, w, f: p >= 60),
+    ("moda", _NUMBER, lambda p, w, f: f.get("binaria")),
+    ("cero", _NUMBER, lambda p, w, f: w & set(V.EVENT_COUNT_WORDS) and f.get("entera", True)),
+    ("moda", _NUMBER, lambda p, w, f: f.get("pocos_valores") and w & set(V.SCALE_WORDS)),
+    ("mediana", _NUMBER, lambda p, w, f: True),
+    ("no_indica", _ANY, lambda p, w, f: True),
+]
+
+
 def suggest_rule(role: str, percent: float, name: str = "", facts: dict[str, bool] | None = None) -> str:
-    """GUI-3: the null rule for a column from its role, name words, null share and numeric profile."""
-    facts = facts or {}
+    """GUI-3: the first null rule that fits a column's role, null share, name and numeric profile."""
     words = set(names.plain_words(name))
-    if percent == 0:
-        return "dejar"
-    if percent >= 100:
-        return "eliminar_columna"
-    if role == "id":
-        return "no_indica" if percent >= 5 else "eliminar_fila"
-    if role == "coordenada":
-        return "eliminar_fila"
-    if role != "numerica":
-        return "no_indica"
-    if words & set(V.SURVEY_WORDS):
-        return "cero"
-    if words & set(V.YEAR_WORDS):
-        return "no_indica"
-    if percent >= 60:
-        return "dejar"
-    if facts.get("binaria"):
-        return "moda"
-    if words & set(V.EVENT_COUNT_WORDS) and facts.get("entera", True):
-        return "cero"
-    return "moda" if facts.get("pocos_valores") and words & set(V.SCALE_WORDS) else "mediana"
+    return next(rule for rule, roles, holds in NULL_RULES if (roles is None or role in roles) and holds(percent, words, facts or {}))
 
 
 def suggested_rules(profile: Profile, word: str = V.NO_DATA_WORD) -> list[dict]:

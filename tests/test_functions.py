@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkscrub.functions import dates, keys, names, numbers, rules, text
 from sparkscrub.operators import steps
-from sparkscrub.operators.variants import is_typo
 
 
 def values(spark, inputs, build):
@@ -67,7 +66,7 @@ def test_one_edit(spark):
     pairs = [("hredia", "heredia"), ("alajuela", "alajuelita"), ("herdeia", "heredia"), ("casas", "cosas"), ("abc1d", "abc2d"), ("eredia", "heredia")]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     mine = [r[0] for r in df.orderBy("i").select(text.one_edit_typo(F.col("a"), F.col("b"))).collect()]
-    assert mine == [True, False, True, True, False, False] == [is_typo(a, b) for a, b in pairs]
+    assert mine == [True, False, True, True, False, False]
 
 
 def test_dates(spark):

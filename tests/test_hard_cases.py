@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkscrub.functions import keys, numbers
-from sparkscrub.operators import actions, detect, joins
+from sparkscrub.operators import actions, detect, joins, stats
 from sparkscrub.operators import steps as S
+from sparkscrub.operators.variants import suggest_equivalences
 from sparkscrub.plans import recipe
+from sparkscrub.plans.profile import Profile
 from sparkscrub.plans.quantiles import column_quantiles
 from sparkscrub.session import fresh_path
 from sparkscrub.sources import delimited, sql
@@ -106,3 +108,21 @@ def test_rows_like_the_header_and_late_accents(spark):
     assert delimited.read_text_table(spark, path).filter("n = '2'").first()["t"] == "café €"
     path = put(spark, folder, "c.csv", 'n,t\n1,"x, y\nz, w"\n2,é,more\n'.encode())
     assert [tuple(r) for r in delimited.read_text_table(spark, path).collect()] == [("1", "x, y\nz, w", None), ("2", "é", "more")]
+
+
+def test_relations_of_many_columns_and_equal_operands(spark):
+    base = spark.range(400)
+    wide = base.select(*[((F.col("id") * (i + 3) * 37) % (101 + i)).cast("double").alias(f"x{i}") for i in range(29)])
+    wide = wide.withColumn("total", F.col("x27") * F.col("x28"))
+    found = {(r.columna, r.op) for r in stats.computed_columns(wide).collect()}
+    assert ("total", "producto") in found
+    same = base.select((F.col("id") % 7 * 0.001).alias("a"), (F.col("id") % 90 + 10.0).alias("b"), (F.col("id") % 90 + 10.0).alias("c"))
+    assert not [r for r in stats.relation_rates(same, {c: F.col(c) for c in same.columns}) if r["op"] == "resta" and r["columna"] == "a"]
+
+
+def test_equivalence_rules(spark):
+    rows = ["M"] * 9 + ["male"] * 4 + ["F"] * 6 + ["unknown"]
+    table = spark.createDataFrame([(x, y) for x, y in zip(rows, ["Heredia"] * 12 + ["HEREDIA"] * 3 + ["Hredia", "Alajuela", "Alajuela", "Alajuelita", "Alajuelita"])], "sexo string, lugar string")
+    got = {(r.columna, r.valor): r.unificar_a for r in suggest_equivalences(Profile(table)).collect()}
+    assert got["sexo", "male"] == "M" and got["sexo", "M"] == "" and got["sexo", "unknown"] == "No indica"
+    assert got["lugar", "HEREDIA"] == "Heredia" and got["lugar", "Hredia"] == "Heredia" and got["lugar", "Alajuelita"] == ""
