@@ -44,6 +44,15 @@ def _(spark, sf):
     return repeated_rows(dirty(spark, sf, "dirty_customer"), C_COLUMNS, ROW_ID)
 
 
+L_COLUMNS = ["l_orderkey", "l_linenumber", "l_returnflag"]
+
+
+@query("det_02_duplicate_lines", duck("dirty_lineitem") + f"""
+SELECT _row_id FROM (SELECT _row_id, row_number() OVER (PARTITION BY {', '.join(L_COLUMNS)} ORDER BY _row_id) AS rn FROM dirty_lineitem) WHERE rn > 1""")
+def _(spark, sf):
+    return repeated_rows(dirty(spark, sf, "dirty_lineitem"), L_COLUMNS, ROW_ID)
+
+
 @query("det_03_wrong_type", duck("dirty_customer") + """
 SELECT 'tipo_invalido' AS tipo, 'saldo' AS columna, _row_id AS fila, saldo AS valor_original FROM dirty_customer
 WHERE trim(saldo) <> '' AND TRY_CAST(saldo AS DOUBLE) IS NULL""")
@@ -107,6 +116,12 @@ def _(spark, sf):
     return repeated_cells(p.df, detect.key_columns(p), ROW_ID)
 
 
+@query("det_09_repeated_line_keys", duck("dirty_lineitem") + """
+SELECT 'l_orderkey' AS columna, _row_id FROM (SELECT _row_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY _row_id) AS rn FROM dirty_lineitem) WHERE rn > 1""")
+def _(spark, sf):
+    return repeated_cells(dirty(spark, sf, "dirty_lineitem"), ["l_orderkey"], ROW_ID)
+
+
 _EXPECTED = "round(cantidad * precio_unitario, 2)"
 _BROKEN = "cantidad IS NOT NULL AND abs(total - cantidad * precio_unitario) > greatest(abs(cantidad * precio_unitario) * 0.01, 0.01)"
 RULE = {"total": "total", "cantidad": "cantidad", "precio": "precio_unitario", "tolerancia": 0.01}
@@ -255,6 +270,16 @@ def _(spark, sf):
         a.by_column().select(F.lit("columna").alias("eje"), F.col("columna").alias("valor"), "hallazgos"))
 
 
+@query("det_20_analyze_lines", duck("dirty_lineitem") + f"""
+SELECT 'faltante' AS tipo, 'cantidad' AS columna, _row_id AS fila FROM dirty_lineitem WHERE cantidad IS NULL
+UNION ALL SELECT 'formula_incorrecta', 'total', _row_id FROM dirty_lineitem WHERE {_BROKEN}
+UNION ALL SELECT 'duplicado', NULL, _row_id FROM (SELECT _row_id, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, cantidad, precio_unitario,
+  total, l_discount, l_tax, l_returnflag, l_shipdate ORDER BY _row_id) AS rn FROM dirty_lineitem) WHERE rn > 1""")
+def _(spark, sf):
+    lines = detect.analyze(dirty(spark, sf, "dirty_lineitem"), only={"faltante", "duplicado", "formula_incorrecta"}, formula=RULE)
+    return lines.findings().select("tipo", "columna", "fila")
+
+
 # -- actions ---------------------------------------------------------------------------------------------------
 def cleaned(spark, sf, name, only, config=None, **options):
     return actions.clean(detect.analyze(dirty(spark, sf, name), only=only), config, **options)

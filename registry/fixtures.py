@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 LINEITEM = """
-SELECT l_orderkey * 10 + l_linenumber AS _row_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
+SELECT (l_orderkey * 10 + l_linenumber) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate) AS _row_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN -l_quantity ELSE l_quantity END AS cantidad,
   CASE WHEN l_orderkey % 89 = 0 THEN l_extendedprice * 1000 ELSE l_extendedprice END AS precio_unitario,
   CASE WHEN l_partkey % 83 = 0 THEN round(l_quantity * l_extendedprice, 2) + 500

@@ -220,3 +220,11 @@ CONCEPTS = {
     "nombre": "nombre name titulo title etiqueta label",
 }
 GROUPING_CONCEPTS = ("resultado", "geografia", "tiempo_parte", "organizacion", "producto", "persona", "demografia", "canal", "proceso")
+
+# --- Fixed values: notes of corrections ------------------------------------------------------------
+NO_FILL_NOTE = (" | columna de código/identificador/coordenada/correo/texto libre: no se imputa ni se recorta "
+                "(queda para revisión)")
+HEAVY_NOTE = " | distribución con cola larga natural: el valor alto es legítimo, no se reemplaza"
+HEAVY_CLIP_NOTE = (" | distribución con cola larga natural (p. ej. población, superficie): el valor alto es legítimo, "
+                   "no se recorta")
+MODE_NOTE = " | columna de texto: no admite media/mediana, se usó la moda"

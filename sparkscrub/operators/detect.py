@@ -15,7 +15,7 @@ from ..functions import dates, names, numbers, text
 from ..functions import vocab as V
 from ..plans.profile import Profile, bounded_scale, fences
 from . import formula as rule_of
-from .rows import ROW_ID, attach_lookup, flag_rows, q, repeated_cells, repeated_rows
+from .rows import ROW_ID, attach_lookup, flag_rows, q, repeated_cells, repeated_rows, require_unique
 from .variants import spelling_variants, variant_columns
 
 FINDING = ("tipo", "columna", "fila", "valor_original", "detalle", "valor_sugerido")
@@ -325,6 +325,8 @@ def analyze(df: DataFrame, row_id: str = ROW_ID, only: set[str] | None = None, m
     checks: list[Check] = []
     if wanted("faltante"):
         checks += missing(profile)
+    if wanted("duplicado") or wanted("id_duplicado"):
+        require_unique(df, row_id)
     if wanted("duplicado"):
         df = flag_rows(df, repeated_rows(df, profile.columns, row_id), row_id, "__dup")
         checks += duplicates(profile, "__dup")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_ID = "_row_id"
@@ -19,19 +19,22 @@ def q(name: str) -> Column:
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """0-based row numbers in reading order. `df` must be a plain scan, whose partitions are the same on every read.
 
-    One light job counts rows per partition; the offsets (one per partition) are then added to the position."""
-    raw = df.withColumn("__mid", F.monotonically_increasing_id())
-    counts = raw.groupBy(F.shiftright("__mid", 33).alias("p")).count().orderBy("p").collect()
-    offsets, total = [], 0
-    for row in counts:
-        offsets.append((row["p"], total))
-        total += row["count"]
-    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__p long, __offset long")
+    Rows are counted per partition and the offsets (one row per partition) join the rows; nothing is collected."""
+    raw = df.withColumn("__mid", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__mid", 33))
+    counts = raw.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__offset"))  # one row per partition
     position = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = raw.withColumn("__p", F.shiftright("__mid", 33)).join(F.broadcast(table), "__p")
+    joined = raw.join(offsets, "__p")
     return joined.withColumn(name, F.col("__offset") + position).drop("__mid", "__p", "__offset")
 
 
+def require_unique(df: DataFrame, row_id: str) -> None:
+    """An error when a row id is missing or stands on two rows (counts combined per task; stops at the first)."""
+    wrong = df.groupBy(q(row_id)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | q(row_id).isNull())
+    if not wrong.isEmpty():
+        raise ValueError(f"la columna {row_id} debe ser única y no tener nulos")
+
+
 def repeated_rows(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Row ids of every row whose key appeared in an earlier row (NULL equals NULL).
 
