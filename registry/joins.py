@@ -75,23 +75,23 @@ def _(spark, sf):
 
 
 @query("jn_05_unmatched_examples", """
-SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, count(*) AS "filas_en_A" FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)
+SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, count(*) AS "filas_en_A" FROM lineitem WHERE l_partkey NOT IN (SELECT CASE WHEN p_size > 25 THEN p_partkey ELSE -p_partkey END FROM part)
 GROUP BY 1 ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR) LIMIT 10""")
 def _(spark, sf):
-    return joins.unmatched_examples(table(spark, sf, "lineitem"), table(spark, sf, "part").filter("p_size > 25"), ["l_partkey"], ["p_partkey"])
+    return joins.unmatched_examples(table(spark, sf, "lineitem"), table(spark, sf, "part").withColumn("p_partkey", F.expr("if(p_size > 25, p_partkey, -p_partkey)")), ["l_partkey"], ["p_partkey"])
 
 
 def _joined(how: str, extra: str = "") -> str:
     return duck("dirty_orders", "dirty_customer") + f""",
-a AS (SELECT _row_id, {KEY} AS id_cliente, monto FROM dirty_orders WHERE _row_id % 3 <> 0), b AS (SELECT CAST(id AS VARCHAR) AS id, segmento, saldo FROM dirty_customer WHERE id % 4 <> 1)
+a AS (SELECT _row_id, {KEY} AS id_cliente, monto FROM dirty_orders), b AS (SELECT CAST(CASE WHEN id % 4 = 1 THEN id + 900000000 ELSE id END AS VARCHAR) AS id, segmento, saldo FROM dirty_customer)
 SELECT _row_id, id_cliente, monto, id, segmento, saldo, CASE WHEN id IS NULL THEN 'left_only' WHEN id_cliente IS NULL THEN 'right_only' ELSE 'both' END AS _merge
 FROM a {how} JOIN b ON id_cliente = id {extra}"""
 
 
 def _merged(spark, sf, how, **options):
     a, b = pair(spark, sf)
-    a = a.filter("_row_id % 3 <> 0").select("_row_id", "id_cliente", "monto")
-    b = b.filter("id % 4 <> 1").select("id", "segmento", "saldo")
+    a = a.select("_row_id", "id_cliente", "monto")
+    b = b.withColumn("id", F.expr("if(id % 4 = 1, id + 900000000, id)")).select("id", "segmento", "saldo")  # keys without a partner, planted
     return joins.merge(a, b, ["id_cliente"], ["id"], how, mode="codigo", **options)
 
 
@@ -138,7 +138,7 @@ def _(spark, sf):
 
 
 @query("jn_10_audit_numbers", duck("dirty_orders", "dirty_customer") + f""",
-a AS (SELECT _row_id, {KEY} AS k FROM dirty_orders WHERE _row_id % 3 <> 0), b AS (SELECT CAST(id AS VARCHAR) AS k FROM dirty_customer WHERE id % 4 <> 1)
+a AS (SELECT _row_id, {KEY} AS k FROM dirty_orders), b AS (SELECT CAST(CASE WHEN id % 4 = 1 THEN id + 900000000 ELSE id END AS VARCHAR) AS k FROM dirty_customer)
 SELECT (SELECT count(*) FROM a) AS filas_a, (SELECT count(*) FROM b) AS filas_b, (SELECT count(*) FROM a LEFT JOIN b USING (k)) AS filas_resultado,
   (SELECT round(count(*) FILTER (WHERE k IN (SELECT k FROM b)) * 100.0 / count(*), 2) FROM a) AS pct""")
 def _(spark, sf):
@@ -400,9 +400,9 @@ def _(spark, sf):
 
 
 @query("mod_03_foreign_key_check", """
-SELECT l_partkey AS clave, count(*) AS filas FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY l_partkey""")
+SELECT l_partkey AS clave, count(*) AS filas FROM lineitem WHERE l_partkey NOT IN (SELECT CASE WHEN p_size > 10 THEN p_partkey ELSE -p_partkey END FROM part) GROUP BY l_partkey""")
 def _(spark, sf):
-    return model.orphans(table(spark, sf, "lineitem"), "l_partkey", table(spark, sf, "part").filter("p_size > 10"), "p_partkey")
+    return model.orphans(table(spark, sf, "lineitem"), "l_partkey", table(spark, sf, "part").withColumn("p_partkey", F.expr("if(p_size > 10, p_partkey, -p_partkey)")), "p_partkey")
 
 
 # -- sources and sinks ----------------------------------------------------------------------------------------------------
