@@ -236,106 +236,145 @@ class Cleaning:
         return touched.select(F.explode(F.array_compact(F.array(*rows))).alias("f")).select("f.*")
 
 
+@dataclass
+class _Facts:
+    """What the writers need: worked out once for the whole table."""
+
+    profile: Profile
+    fixed: dict
+    statistics: dict[str, dict[str, object]]
+    limits: dict[str, tuple]
+    heavy: set[str]
+    edits: Column | None
+
+
+def _literal(value) -> Column:
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
+        value = int(value)
+    return F.lit(None).cast("string") if value is None else F.lit(str(value))
+
+
+def _put(step: _Step, value) -> None:
+    """Write one literal value, remembering whether it is a number."""
+    step.new, step.writes, step.logged = _literal(value), F.lit(True), _literal(value)
+    try:
+        number = None if value is None else float(value)
+        step.number = F.lit(number).cast("double")
+        step.whole = number is None or number.is_integer()
+    except (TypeError, ValueError):
+        step.number = None
+
+
+def _drop(step: _Step, action: str, facts: _Facts) -> None:
+    step.logged, step.drops = F.lit("(fila eliminada)"), True
+
+
+def _blank(step: _Step, action: str, facts: _Facts) -> None:
+    _put(step, None)
+    step.typed = True
+
+
+def _statistic(step: _Step, action: str, facts: _Facts) -> None:
+    _put(step, facts.statistics[action].get(step.check.columna))
+    step.typed = step.check.tipo != "atipico"
+    if action != "reemplazar_moda" and not facts.profile.reads_as_number(step.check.columna):
+        step.note = F.concat(step.note, F.lit(V.MODE_NOTE))
+
+
+def _fixed(step: _Step, action: str, facts: _Facts) -> None:
+    k = step.check
+    value = names.fixed_value(facts.fixed.get((k.tipo, k.columna), facts.fixed.get(k.columna)))
+    _put(step, value)
+    step.typed = value is None and k.tipo in ("faltante", "tipo_invalido")
+
+
+def _limit(step: _Step, action: str, facts: _Facts) -> None:
+    c = step.check.columna
+    number, own = facts.profile.lenient_number(c), facts.limits.get(c, (None, None))
+    clipped = clip(number, *own)
+    written = numbers.number_text(clipped)
+    step.new, step.writes, step.number = written, number.isNotNull(), clipped
+    step.whole = all(x is None or float(x).is_integer() for x in own)
+    logged = F.when(number.isNotNull(), written)
+    if c in facts.heavy:  # a high value inside the logical range stays
+        same = clipped == number
+        step.action, step.note = F.when(same, F.lit("marcar_solo")).otherwise(F.lit(action)), F.when(same, F.lit(V.HEAVY_CLIP_NOTE)).otherwise(F.lit(""))
+        logged, step.marked = F.when(same, step.logged).otherwise(logged), same
+    step.logged = logged
+
+
+def _suggested(step: _Step, action: str, facts: _Facts) -> None:
+    suggestion = step.check.sugerido.cast("string")
+    step.new, step.writes = suggestion, step.check.sugerido.isNotNull()
+    step.number = step.check.sugerido.try_cast("double") if step.check.tipo == "formula_incorrecta" else None
+    step.logged = F.coalesce(suggestion, step.logged)
+
+
+def _edited(step: _Step, action: str, facts: _Facts) -> None:
+    k, original = step.check, step.logged
+    given, value = F.lit(False), F.lit(None).cast("string")
+    if facts.edits is not None:
+        key = F.lit(f"{k.tipo}\u0001{k.columna}")
+        given, value = F.coalesce(F.map_contains_key(facts.edits, key), F.lit(False)), F.element_at(facts.edits, key)
+    step.new, step.writes, step.logged = value, given, F.when(given, value).otherwise(original)
+    step.marked = ~given | F.coalesce(value.eqNullSafe(original), F.lit(False))
+    step.number = value.try_cast("double") if facts.profile.is_numeric(k.columna) else None
+
+
+#: What an action does to the cells of a kind of finding. A pair that is not listed leaves the cell as it is.
+WRITERS = {
+    **{(t, "eliminar_fila"): _drop for t in DEFAULT_ACTIONS},
+    ("faltante", "rellenar_nan"): _blank,
+    **{(t, a): _statistic for t in ("faltante", "tipo_invalido", "atipico") for a in STATISTICAL},
+    **{(t, "valor_fijo"): _fixed for t in (*sorted(_DIRECT_FIXED), "faltante", "tipo_invalido")},
+    ("atipico", "limitar"): _limit,
+    **{(t, "usar_sugerido"): _suggested for t in sorted(_SUGGESTED)},
+    **{(t, "editar_individualmente"): _edited for t in sorted(_EDITABLE)},
+}
+
+
 def clean(analysis: Analysis, config: dict[str, str] | None = None, fixed: dict | None = None,
           corrections: DataFrame | None = None, date_formats: dict[str, str] | None = None, factor: float = 1.5) -> Cleaning:
-    """ACT-1: choose the action of every check and build the cleaned table and the log.
+    """ACT-1: look up what each check's action writes and build the cleaned table and the log.
 
     `fixed` maps (tipo, columna) or columna to a value; `corrections` is a table (tipo, columna, fila, valor)."""
     config = {**DEFAULT_ACTIONS, **(config or {})}
     unknown = set(config.values()) - ACTIONS
     if unknown:
         raise ValueError(f"acciones desconocidas: {', '.join(sorted(unknown))}")
-    fixed = fixed or {}
     profile, checks = analysis.profile, analysis.checks
-    df = analysis.df
-    if corrections is not None:
-        df = attach_corrections(df, corrections, analysis.row_id)
+    df = analysis.df if corrections is None else attach_corrections(analysis.df, corrections, analysis.row_id)
     # ACT-12: columns where a computed value would be invented
     guarded = set(profile.not_outlier_columns) | {c for c in profile.columns if names.is_coordinate(c)}
     if any(config[k.tipo] in STATISTICAL for k in checks if k.tipo in ("faltante", "tipo_invalido")):
         guarded |= profile.never_filled
-    outlier_cols = [k.columna for k in checks if k.tipo == "atipico"]
-    clips = config["atipico"] == "limitar" or config["atipico"] in STATISTICAL
-    heavy = set(profile.heavy_tailed([c for c in outlier_cols if c not in guarded])) if clips and outlier_cols else set()
-    limits = winsor_limits(profile, outlier_cols, factor) if config["atipico"] == "limitar" and outlier_cols else {}
+    outliers = [k.columna for k in checks if k.tipo == "atipico"]
+    changes = config["atipico"] == "limitar" or config["atipico"] in STATISTICAL
+    heavy = set(profile.heavy_tailed([c for c in outliers if c not in guarded])) if changes and outliers else set()
+    limits = winsor_limits(profile, outliers, factor) if config["atipico"] == "limitar" and outliers else {}
     limits.update({c: logical_limits(c) for c in heavy})
     needs: dict[str, dict[str, str]] = {}  # one column may need several statistics
     for k in checks:
-        if config[k.tipo] in STATISTICAL and k.tipo in ("faltante", "tipo_invalido", "atipico") and k.columna not in guarded:
+        if WRITERS.get((k.tipo, config[k.tipo])) is _statistic and k.columna not in guarded:
             needs.setdefault(config[k.tipo], {})[k.columna] = config[k.tipo]
-    per_action = {action: replacements(profile, columns) for action, columns in needs.items()}
-    none, nothing, yes, no = F.lit(None).cast("string"), F.lit(""), F.lit(True), F.lit(False)
-
-    def literal(value) -> Column:
-        if value is None:
-            return none
-        if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
-            value = int(value)
-        return F.lit(str(value))
-
-    def write(step: _Step, value) -> None:
-        """Write one literal value, remembering whether it is a number."""
-        step.new, step.writes, step.logged = literal(value), yes, literal(value)
-        try:
-            number = None if value is None else float(value)
-            step.number = F.lit(number).cast("double")
-            step.whole = number is None or number.is_integer()
-        except (TypeError, ValueError):
-            step.number = None
+    facts = _Facts(profile, fixed or {}, {action: replacements(profile, columns) for action, columns in needs.items()}, limits, heavy,
+                   q("__edits") if corrections is not None else None)
+
+    def refusal(k: Check) -> str:
+        """Why a check's action is not carried out ('' when it is)."""
+        statistic = WRITERS.get((k.tipo, config[k.tipo])) is _statistic
+        if k.columna in guarded and (statistic if k.tipo != "atipico" else (statistic or config[k.tipo] == "limitar") and names.is_coordinate(k.columna)):
+            return V.NO_FILL_NOTE
+        return V.HEAVY_NOTE if k.tipo == "atipico" and statistic and k.columna in heavy else ""
 
     steps = []
     for k in checks:
-        action, c, t, note = config[k.tipo], k.columna, k.tipo, ""
-        if c in guarded and ((t in ("faltante", "tipo_invalido") and action in STATISTICAL) or (
-                t == "atipico" and action in ("limitar", *STATISTICAL) and names.is_coordinate(c))):
-            action, note = "marcar_solo", V.NO_FILL_NOTE
-        elif t == "atipico" and c in heavy and action in STATISTICAL:
-            action, note = "marcar_solo", V.HEAVY_NOTE
-        original = k.original.cast("string")
-        step = _Step(k, F.lit(action), None, no, original, F.lit(note), F.lit(action == "marcar_solo"))
-        if action == "eliminar_fila":
-            step.logged = F.lit("(fila eliminada)")
-            step.drops = True
-        elif t == "faltante" and action == "rellenar_nan":
-            write(step, None)
-            step.typed = True
-        elif t in ("faltante", "tipo_invalido") and action in (*STATISTICAL, "valor_fijo"):
-            value = (names.fixed_value(fixed.get((t, c), fixed.get(c))) if action == "valor_fijo"
-                     else per_action[action].get(c))
-            write(step, value)
-            step.typed = value is None or action in STATISTICAL
-        elif t == "atipico" and action in STATISTICAL:
-            write(step, per_action[action].get(c))
-        elif t == "atipico" and action == "limitar":
-            number = profile.lenient_number(c)
-            clipped = clip(number, *limits.get(c, (None, None)))
-            written = numbers.number_text(clipped)
-            step.new, step.writes, step.number = written, number.isNotNull(), clipped
-            step.whole = all(x is None or float(x).is_integer() for x in limits.get(c, ()))
-            step.logged = F.when(number.isNotNull(), written)
-            if c in heavy:
-                same = clipped == number
-                step.action = F.when(same, F.lit("marcar_solo")).otherwise(F.lit("limitar"))
-                step.note = F.when(same, F.lit(V.HEAVY_CLIP_NOTE)).otherwise(nothing)
-                step.logged = F.when(same, original).otherwise(step.logged)
-                step.marked = same
-        elif t in _SUGGESTED and action == "usar_sugerido":
-            step.new, step.writes = k.sugerido.cast("string"), k.sugerido.isNotNull()
-            step.number = k.sugerido.try_cast("double") if t == "formula_incorrecta" else None
-            step.logged = F.coalesce(k.sugerido.cast("string"), original)
-        elif t in _DIRECT_FIXED and action == "valor_fijo":
-            write(step, names.fixed_value(fixed.get((t, c), fixed.get(c))))
-        elif t in _EDITABLE and action == "editar_individualmente":
-            edits = q("__edits") if corrections is not None else None
-            key = F.lit(f"{t}\u0001{c}")
-            given = F.coalesce(F.map_contains_key(edits, key), no) if edits is not None else no
-            value = F.element_at(edits, key) if edits is not None else none
-            step.new, step.writes, step.logged = value, given, F.when(given, value).otherwise(original)
-            step.marked = ~given | F.coalesce(value.eqNullSafe(original), no)
-            step.number = value.try_cast("double") if profile.is_numeric(c) else None
-        if action in ("reemplazar_media", "reemplazar_mediana") and t in ("faltante", "tipo_invalido", "atipico") \
-                and not profile.reads_as_number(c):
-            step.note = F.concat(step.note, F.lit(V.MODE_NOTE))
+        note = refusal(k)
+        action = "marcar_solo" if note else config[k.tipo]
+        step = _Step(k, F.lit(action), None, F.lit(False), k.original.cast("string"), F.lit(note), F.lit(action == "marcar_solo"))
+        writer = WRITERS.get((k.tipo, action))
+        if writer:
+            writer(step, action, facts)
         steps.append(step)
     formats = {}
     if config["fecha_invalida"] == "normalizar_formato_fecha":
