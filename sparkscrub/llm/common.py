@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text handled at once inside a task (numpy needs about 60 bytes for each).
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at once inside a task (numpy needs about 100 bytes for each).
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

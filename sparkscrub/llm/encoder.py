@@ -15,7 +15,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Pieces remembered at most; then the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 _PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-/:-@\[-`{-~]|$)|\s*\S+|\s+")
 _UNCLEAR = re.compile("[\x1c-\x1f]")
 
