@@ -40,6 +40,7 @@ class CoverTree:
 
     def __init__(self, unit: np.ndarray):
         self.unit = unit
+        self.cosine = unit @ unit.T  # of one cell, so CELL x CELL numbers at most
         self.order = np.arange(len(unit))
         self.centre, self.radius, self.start, self.end, self.children = [], [], [], [], []
         self._add(0, 0, len(unit), 2.0)
@@ -51,7 +52,7 @@ class CoverTree:
     def _add(self, centre: int, start: int, end: int, reach: float) -> int:
         members = self.order[start:end]
         self.centre.append(centre)
-        self.radius.append((float(chord(self.unit[members] @ self.unit[centre]).max()) if end - start > 1 else 0.0, reach))
+        self.radius.append((float(chord(self.cosine[centre][members]).max()) if end - start > 1 else 0.0, reach))
         self.start.append(start)
         self.end.append(end)
         self.children.append(np.zeros(0, int))
@@ -68,7 +69,7 @@ class CoverTree:
         rest = self.order[start:end].copy()
         groups, centre = [], self.centre[node]
         while len(rest):
-            near = chord(self.unit[rest] @ self.unit[centre]) <= half
+            near = chord(self.cosine[centre][rest]) <= half
             near[rest == centre] = True
             groups.append((centre, rest[near]))
             rest = rest[~near]
@@ -81,6 +82,7 @@ class CoverTree:
         self.children[node] = np.array(kids)
 
     def finish(self) -> None:
+        del self.cosine
         self.centre, self.start, self.end = np.array(self.centre), np.array(self.start), np.array(self.end)
         self.radius = np.array([r[0] for r in self.radius])
 
