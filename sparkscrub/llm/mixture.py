@@ -29,7 +29,7 @@ NOISE = "0123456789|#$%&*!<>{}[]"
 
 def quality_weight(text: str) -> Column:
     """The fourth power of the share of characters that are no noise, at least 0.05."""
-    share = F.length(F.translate(text, NOISE, "")) / F.length(text)
+    share = F.try_divide(F.length(F.translate(text, NOISE, "")), F.length(text))
     return F.coalesce(F.greatest(F.lit(0.05), share * share * share * share), F.lit(0.05))
 
 
@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     ranked = ranked.withColumn("full", (F.col("all") - F.col("caps_before")) / F.col("w_left") * F.col("w") >= F.col("cap"))
     left = F.col("all") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(everything)
     open_weight = F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(everything)
-    level = left / F.when(open_weight > 0, open_weight)
+    level = F.try_divide(left, open_weight)
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level * F.col("w"))
     return ranked.select("source", "source_size", "documents", target.alias("target"))
 
@@ -66,7 +66,7 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     sized = stored(docs.select("doc_id", "source", word_count("text").alias("size"), key("doc_id", "text", seed).alias("key")), "sized")
     sized = sized.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights, most)
-    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0))
     sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.sqrt("documents")))
     sources = stored(sources, "sources")
     named = sources.select(F.col("source").alias("name"), "rest", "ranges")
