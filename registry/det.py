@@ -375,11 +375,8 @@ def _(spark, sf):
 @query("act_11_normalize_dates", duck("dirty_orders") + f"""
 SELECT _row_id, coalesce(strftime({DATE}, '%d/%m/%Y'), fecha_pago) AS fecha_pago FROM dirty_orders""")
 def _(spark, sf):
-    """Day-month order of '05/06/1995' follows the month-first reading with a day-first retry, so days up to 12 are read
-    from the year-first text instead, as the fixture's dirt is either unambiguous or written both ways."""
-    df = dirty(spark, sf, "dirty_orders")
-    iso = F.regexp_replace("fecha_pago", r"^(\d{2})/(\d{2})/(\d{4})$", "$3/$2/$1")
-    a = detect.analyze(df.withColumn("fecha_pago", iso), only={"fecha_invalida"})
+    """'05/06/1995' is read day first because the column's other '/' dates prove that order."""
+    a = detect.analyze(dirty(spark, sf, "dirty_orders"), only={"fecha_invalida"})
     return actions.clean(a, {"fecha_invalida": "normalizar_formato_fecha"}, date_formats={"fecha_pago": "dd/mm/aaaa"}).df.select(
         "_row_id", "fecha_pago")
 

@@ -82,15 +82,24 @@ def _other_forms(t: Column) -> Column:
     )
 
 
-def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Any readable form, day/month tried both ways (month first, then day first); else NULL."""
+def parse_date(c: Column, dtype: T.DataType | None = None, day_first_seps: list[str] | None = None) -> Column:
+    """Any readable form, day/month tried both ways (month first, then day first; the other way round for the separators
+    in `day_first_seps`); else NULL."""
     if dtype is not None and is_date_type(dtype):
         return c.cast("timestamp_ntz")
 
+    def numeric(t: Column, n: Column) -> Column:
+        def stamp(month: int, day: int) -> Column:
+            return _stamp(_part(n, 2), _part(n, month), _part(n, day), n, F.lit(True))
+
+        both = F.coalesce(stamp(0, 1), stamp(1, 0))
+        if not day_first_seps:
+            return both
+        sep = F.regexp_extract(t, r"^\d{1,2}([/.-])", 1)
+        return F.when(sep.isin(*day_first_seps), F.coalesce(stamp(1, 0), stamp(0, 1))).otherwise(both)
+
     def read(t: Column) -> Column:
-        both = let(_digits(t), lambda n: F.coalesce(_stamp(_part(n, 2), _part(n, 0), _part(n, 1), n, F.lit(True)),
-                                                    _stamp(_part(n, 2), _part(n, 1), _part(n, 0), n, F.lit(True))))
-        return F.when(t.rlike(_DMY), both).otherwise(_other_forms(t))
+        return F.when(t.rlike(_DMY), let(_digits(t), lambda n: numeric(t, n))).otherwise(_other_forms(t))
 
     return let(strip(c.cast("string")), read)
 

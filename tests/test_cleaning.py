@@ -129,3 +129,16 @@ def test_profile_of_nested_and_nan(spark):
     p = Profile(df)
     assert p.columns == ["v"] and p.text["v"]["nulls"] == 2
     assert detect.findings(df.withColumn("_row_id", F.lit(1)), detect.missing(p)).count() == 2
+
+
+@pytest.mark.parametrize("proof, want", [("25/06/1995", "1995-06-05"), ("06/25/1995", "1995-05-06"), ("2024-01-31", "1995-05-06")])
+def test_normalised_dates_follow_the_order_the_column_proves(spark, proof, want):
+    """'05/06/1995' is read as the other dates with its separator show; month first when they show nothing or both orders."""
+    texts = ["05/06/1995", proof, "2024-13-01", "99/05/2024", "", "03-04-2020"]
+    df = spark.createDataFrame(list(enumerate(texts)), "_row_id long, fecha string")
+    done = actions.clean(detect.analyze(df, only={"fecha_invalida"}, date_columns=["fecha"]), {"fecha_invalida": "normalizar_formato_fecha"})
+    out = [r["fecha"] for r in done.df.orderBy("_row_id").collect()]
+    assert out == [want, "2024-01-31" if proof.startswith("2024") else "1995-06-25", "2024-13-01", "99/05/2024", "", "2020-03-04"]
+    both = df.union(spark.createDataFrame([(6, "25/06/1995"), (7, "06/25/1995")], df.schema))
+    done = actions.clean(detect.analyze(both, only={"fecha_invalida"}, date_columns=["fecha"]), {"fecha_invalida": "normalizar_formato_fecha"})
+    assert done.df.filter("_row_id = 0").first()["fecha"] == "1995-05-06"
