@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sparkscrub.plans.profile import Profile
 from tests.oracle import compare, connect
 
 FAST = ["fn_03_parse_number", "fn_06_rescue_coordinate", "fn_11_alnum_key", "fn_17_normalize_key", "fn_19_one_edit", "det_02_duplicate_rows",
@@ -27,3 +28,15 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", FAST)
 def test_twin(spark, sf_dir, con, name):
     assert compare(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name]) == ""
+
+
+def test_detection_sees_whole_tables(spark, sf_dir, con, monkeypatch):
+    """col_08 profiles every customer and every order, the odd ones too."""
+    from registry import col
+    from registry.fixtures import duck
+
+    seen = []
+    monkeypatch.setattr(col, "Profile", lambda df, *a: seen.append(df.count()) or Profile(df, *a))
+    found = {(r["nivel"], r["columna"]) for r in entry.queries()["col_08_detect_columns"](spark, sf_dir).collect()}
+    whole = [con.execute(duck(t) + f" SELECT count(*) FROM {t}").fetchone()[0] for t in ("dirty_customer", "dirty_orders")]
+    assert seen and set(seen) == set(whole) and {("por contenido", "campo_2"), ("fecha", "campo_3")} <= found
