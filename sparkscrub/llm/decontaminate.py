@@ -4,7 +4,8 @@ A test item of m characters may appear with k = floor(rate * m) edits. Cut into
 An Aho-Corasick automaton finds the pieces in one pass over each whole document; around every hit the item is searched with
 Myers' algorithm. Both sides are lower-cased and runs of white space become one space.
 
-Null or empty items match nothing, as do null and empty documents. Items shorter than 1 / rate characters must appear unchanged.
+Items with a null or empty text match nothing, as do null and empty documents. An item without an id is searched like any other and
+reported with a null id; `clean` reads no ids. Items shorter than 1 / rate characters must appear unchanged.
 Rows that repeat an id are answered one by one. The documents are only scanned, never shuffled; the items are broadcast in blocks
 of at most `BLOCK_CHARS` characters (or a single longer item), one scan for each block."""
 
@@ -62,7 +63,7 @@ def edit_search(pattern: str, masks: dict[str, int], text: str, errors: int) ->
 class Matcher:
     """Finds items in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         import ahocorasick
 
         self.items, self.automaton = [], ahocorasick.Automaton()
@@ -83,7 +84,7 @@ class Matcher:
         if owners:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int]]:
         """(item id, fewest edits, end of that appearance) for every item in `text`."""
         if not self.items:
             return []
@@ -122,13 +123,14 @@ def _matcher(name: str, shared, rate: float) -> Matcher:
     return _MATCHERS[name]
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items in lists whose size is checked before they are collected."""
-    items = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and length(text) > 0")
+    items = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).filter("length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / BLOCK_CHARS))  # hashing is uneven: aim at half
     for block in range(n):
-        yield sorted(tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == block).collect())
+        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == block).collect()
+        yield sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
@@ -169,6 +171,6 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "te
 
         return run
 
-    for block in item_blocks(items, "item_id", "text"):
+    for block in item_blocks(items.select(F.lit(0).alias("item_id"), "text"), "item_id", "text"):
         docs = docs.mapInArrow(task(spark.sparkContext.broadcast(block)), docs.schema)
     return docs

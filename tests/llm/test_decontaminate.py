@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkscrub.llm import decontaminate as d
 from tests.llm.brute import substring_distance
@@ -51,3 +52,14 @@ def test_blocks_of_items(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"question number {i} of the test set") for i in range(8)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "see Question  number 3 of the test set!"), (2, "nothing")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in d.matches(docs, items).filter("errors = 0").collect()] == [(1, 3)]
+
+
+def test_items_without_an_id(spark):
+    """A missing id disables no text: it is found with a null id, and `clean` drops the documents that hold it."""
+    texts = ["the question of the ninth exam", "another long question of an exam"]
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (4, texts[1]), (None, None), (None, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"see: {texts[0]}!"), (2, f"and {texts[1]}"), (3, "nothing")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id or 0, r.errors) for r in d.matches(docs, items).collect()) == [(1, 0, 0), (2, 0, 0), (2, 4, 0)]
+    assert [r.doc_id for r in d.clean(docs, items).collect()] == [3]
+    named = items.withColumn("item_id", F.lit("q-1"))  # ids that are no numbers
+    assert [r.doc_id for r in d.clean(docs, named).collect()] == [3]
