@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import WHITE, slices, word_hashes, words
 
 PASSAGE_WORDS = 64
-#: Labelled documents the model is fitted on at most, and passages of each (evenly spread) that training sees.
+#: Labelled documents the model is fitted on at most, and passages of theirs from which on no further document is taken.
 TRAIN_DOCUMENTS = 6_000
-TRAIN_PASSAGES = 64
+TRAIN_PASSAGES = 384_000
 
 _CLASSES = 37  # every ASCII punctuation mark on its own, then lower, upper, digit, white space, the rest
 _CLASS = np.full(256, 36, dtype=np.int64)
@@ -153,13 +153,28 @@ def held_out(doc_id: str | Column, folds: int = 4, fold: int = 2) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
         limit: int = TRAIN_DOCUMENTS) -> AttentionModel:
-    """Fit on at most `limit` labelled documents outside the held-out fold, chosen by a hash of their id.
+    """Fit on at most `limit` labelled documents outside the held-out fold, chosen by a hash of their id, with all their passages.
 
-    The chosen labels (at most `limit` rows) are broadcast; what comes to the driver is the passages' features of these documents.
-    Rows without a label or an id are not used; an id labelled twice counts with its largest label."""
+    Documents are taken whole, in the order of that hash, until they have `TRAIN_PASSAGES` passages. The chosen labels (at most `limit`
+    rows) are broadcast; what comes to the driver is the passages' features of these documents. Rows without a label or an id are not
+    used; an id labelled twice counts with its largest label."""
     chosen = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).filter("id is not null and y is not null")
-              .filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit))
+              .filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(limit))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, bounds in slices(batch["text"]):
+                n = np.maximum(1, -(-np.bincount(words(data, bounds)[2], minlength=end - start) // PASSAGE_WORDS))
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(start, end - start).cast(pa.int64()), batch["h"].slice(start, end - start),
+                                                  pa.array(n, pa.int64())], names=["id", "h", "n"])
+
+    sizes = texts.mapInArrow(count, "id long, h long, n long").groupBy("h", "id").agg(F.sum("n").alias("n")).orderBy("h", "id").collect()
+    total = np.cumsum([0] + [r["n"] for r in sizes])[:-1]
+    taken = [r["id"] for r, before in zip(sizes, total) if before < TRAIN_PASSAGES]
+    if len(taken) < len(sizes):
+        last = sizes[len(taken) - 1]
+        texts = texts.filter((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("id") <= last["id"]))
     schema = "id long, y double, n int, x binary"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             for start, end, data, bounds in slices(batch["text"]):
                 x, owner = passages(data, bounds)
                 cuts = np.searchsorted(owner, np.arange(end - start + 1))
-                rows = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(b - a, TRAIN_PASSAGES)).astype(int))] for a, b in zip(cuts[:-1], cuts[1:])]
+                rows = [x[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(start, end - start).cast(pa.int64()), batch["y"].slice(start, end - start),
                                                   pa.array([len(r) for r in rows], pa.int32()),
                                                   pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "y", "n", "x"])

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkscrub.llm import mixture, quality, queries
 from tests.oracle import compare, connect
@@ -33,6 +34,23 @@ def test_scores_of_odd_rows(spark):
     assert len(quality.classify(docs, labels.limit(0)).collect()) == 7  # nothing learnt: one score for all
 
 
+def test_training_sees_every_passage(spark, monkeypatch):
+    """Long documents are trained on whole; the bound on passages takes whole documents by hash order."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, labels: seen.append([len(b) for b in bags]))
+    long = 200 * quality.PASSAGE_WORDS
+    docs = spark.createDataFrame([(i, "word " * (long if i % 2 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (docs["doc_id"] % 2).alias("quality"))
+    ids = [r.doc_id for r in labels.filter(~quality.held_out("doc_id")).orderBy("doc_id").collect()]
+    quality.fit(docs, labels)
+    assert seen.pop() == [200 if i % 2 else 1 for i in ids]
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 500)
+    order = [r.doc_id for r in labels.filter(~quality.held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    n = [200 if i % 2 else 1 for i in order]
+    quality.fit(docs, labels)
+    assert sorted(seen.pop()) == sorted(x for k, x in enumerate(n) if sum(n[:k]) < 500)
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]
