@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 HEAD = ("<chat 0>\n", "<chat 1>\n")
 OPEN, CLOSE = "### ", "</turn>"
 CONTROL = f"({OPEN}|{CLOSE})"
@@ -87,12 +89,26 @@ def format_chats(rows: DataFrame, learn: str = "assistant") -> DataFrame:
     return chats.select("conv_id", checked.alias("formatted"), F.when(F.col("same"), spans(0)).otherwise(spans(1)).alias("loss_spans"))
 
 
-def digests(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
-    """What the formatted conversations say: turns, digests of turns and of learnt texts, sizes."""
-    chats = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+def learnt(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, cut out of `formatted` by its spans and unescaped.
+
+    Every character has four bytes while it is cut, so a span costs its own length and not its place. The mark before a piece keeps a
+    leading U+FEFF, which a decoder would take for a byte order mark."""
+    mark = F.encode(F.lit("|"), "UTF-32")
+
+    def cut(wide: Column, span: Column) -> Column:
+        piece = F.substr(wide, (4 * span["start"] + 1).cast("int"), (4 * span["length"]).cast("int"))
+        return F.substr(F.decode(F.concat(mark, piece), "UTF-32"), F.lit(2))
+
+    texts = let(F.encode(formatted, "UTF-32"), lambda wide: F.transform(spans, lambda s: cut(wide, s)))
+    return F.when(F.substr(formatted, F.lit(7), F.lit(1)) == "1", F.transform(texts, unescape)).otherwise(texts)
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """What the formatted conversations say: turns, digests of turns and of the texts under the loss mask, sizes."""
+    chats = formatted.select("conv_id", "formatted", "loss_spans", parse(F.col("formatted")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: t["text"]), "")
-    chats = chats.withColumn("loss", loss)
+    chats = chats.withColumn("loss", F.array_join(learnt(F.col("formatted"), F.col("loss_spans")), ""))
     return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
                         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

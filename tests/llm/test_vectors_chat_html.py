@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkscrub.llm import chat, covertree, extract
 from sparkscrub.llm.dom import Page
@@ -76,6 +77,18 @@ def test_chat_nulls_and_ties(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_digests_read_the_loss_mask(spark):
+    """The learnt texts come from `formatted` by the stored spans, in escaped conversations too; other spans give other texts."""
+    texts = ["\ufeffa \U0001f600 \u00e9", "", "x ### y </turn> \\\\### z\n"]
+    rows = [(c, k, "assistant" if k % 2 else "us\u00e9r \U0001f600", t) for c, own in ((1, texts[:2]), (2, texts)) for k, t in enumerate(t for x in own for t in ("q", x))]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.digests(made).collect()}
+    for c, own in ((1, texts[:2]), (2, texts)):
+        assert got[c] == (len("".join(own)), hashlib.sha256("".join(own).encode()).hexdigest())
+    moved = made.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('start', s.start - 1, 'length', s.length))"))
+    assert all(r.loss_sha256 != got[r.conv_id][1] for r in chat.digests(moved).collect())
+
+
 def test_reader_handles_broken_markup():
     page = Page("<!DOCTYPE html><html><head><title>t</title></head><body><p>one <b>two<p>three<br>four &amp;amp; &lt;x&gt;<ul><li>a<li>b</ul>tail<script>var a='<p>no</p>';</script>"
                 "<!-- <p>no</p> --><table><tr><td>c<td>d</table><style>p{}</style><p title='a>b'>e</p><textarea>no</textarea></div>end")
