@@ -362,7 +362,7 @@ for _i, _keep in ((7, "tipo_campo"), (8, "clase"), (9, "papel")):
 @query("dic_10_data_facts")
 def _(spark, sf):
     """Coded facts of customers and events (no SQL counterpart: one rule per fact)."""
-    events = Dictionary(table(spark, sf, "events").drop("props"))
+    events = Dictionary(table(spark, sf, "events"))
     return dictionary(spark, sf).data_facts().withColumn("tabla", F.lit("dirty_customer")).unionByName(events.data_facts().withColumn("tabla", F.lit("events")))
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sparkscrub.operators.dictionary import Dictionary
 from sparkscrub.plans.profile import Profile
 from tests.oracle import compare, connect
 
@@ -40,3 +41,12 @@ def test_detection_sees_whole_tables(spark, sf_dir, con, monkeypatch):
     found = {(r["nivel"], r["columna"]) for r in entry.queries()["col_08_detect_columns"](spark, sf_dir).collect()}
     whole = [con.execute(duck(t) + f" SELECT count(*) FROM {t}").fetchone()[0] for t in ("dirty_customer", "dirty_orders")]
     assert seen and set(seen) == set(whole) and {("por contenido", "campo_2"), ("fecha", "campo_3")} <= found
+
+
+def test_data_facts_see_all_columns_of_events(spark, sf_dir, monkeypatch):
+    from registry import joins
+
+    seen = []
+    monkeypatch.setattr(joins, "Dictionary", lambda df, *a, **k: seen.append(df.columns) or Dictionary(df, *a, **k))
+    entry.queries()["dic_10_data_facts"](spark, sf_dir)
+    assert spark.read.parquet(f"{sf_dir}/events.parquet").columns in seen
