@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, covertree, decontaminate, extract, jaccard, mixture, quality, tokens, warc
+from . import attribution, centroids, chat, covertree, decontaminate, divergence, extract, jaccard, mixture, quality, rules, tokens, warc
 from ..session import fresh_path
 from .common import stored, table
 
@@ -90,3 +90,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text"))
     return chat.digests(stored(chat.format_chats(given.union(probe)), "chats"))
+
+
+@query("op11_source_divergence", divergence.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_quality_rules", rules.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op13_centroid_clusters", centroids.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
