@@ -10,8 +10,8 @@ backslash more before every control string, whatever backslashes stand there) an
 still differs is an error. Unescaping takes one backslash away, so nothing is lost.
 
 Turns are ordered by turn, then role and text; null texts and roles are empty; rows that repeat are separate turns; a null conversation id
-is a conversation of its own. A conversation is one row of the output, so one conversation must fit in a task; running totals and the
-collection share one shuffle by conversation."""
+is a conversation of its own, of all rows without an id. A role that cannot be decoded is broken grammar. A conversation is one row of the
+output, so one conversation must fit in a task; running totals and the collection share one shuffle by conversation."""
 
 from __future__ import annotations
 
@@ -48,10 +48,11 @@ def parse(formatted: Column) -> Column:
 
     def one(part: Column) -> Column:
         colon = F.instr(part, ": ")
-        return F.struct(F.url_decode(F.substr(part, F.lit(len(OPEN) + 1), colon - len(OPEN) - 1)).alias("role"), F.substr(part, colon + 2).alias("text"))
+        name = F.when(colon > len(OPEN), F.substr(part, F.lit(len(OPEN) + 1), colon - len(OPEN) - 1))
+        return F.struct(F.try_url_decode(name).alias("role"), F.substr(part, colon + 2).alias("text"))
 
     turns = F.transform(parts, one)
-    bad = F.exists(parts, lambda p: ~p.startswith(OPEN)) | F.exists(turns, lambda t: F.when(escaped, t["text"].rlike(_BARE)).otherwise(t["text"].rlike(CONTROL)))
+    bad = F.exists(parts, lambda p: ~p.startswith(OPEN)) | F.exists(turns, lambda t: t["role"].isNull()) | F.exists(turns, lambda t: F.when(escaped, t["text"].rlike(_BARE)).otherwise(t["text"].rlike(CONTROL)))
     plain = F.when(escaped, F.transform(turns, lambda t: F.struct(t["role"].alias("role"), unescape(t["text"]).alias("text")))).otherwise(turns)
     return F.when(~bad, plain)
 

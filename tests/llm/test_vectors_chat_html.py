@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -49,7 +50,7 @@ def test_no_vectors(spark):
     assert covertree.near_vectors(empty).collect() == []
 
 
-PIECES = st.lists(st.sampled_from(["### ", "</turn>", "\\", "\n", "#", "a", " ", "user: ", "$1", "\n</turn>\n", "<chat 0>\n", "é"]), max_size=8).map("".join)
+PIECES = st.lists(st.sampled_from(["### ", "</turn>", "\\", "\n", "#", "a", " ", "user: ", ": ", "%", "%zz", "%FF", "$1", "\n</turn>\n", "<chat 0>\n", "é"]), max_size=8).map("".join)
 
 
 @settings(max_examples=12, deadline=None)
@@ -67,6 +68,20 @@ def test_round_trip(spark, turns):
         assert len(spans) == len(learnt) and (escaped or spans == learnt)
 
 
+def test_hostile_conversations(spark):
+    """10,000 conversations of control strings, broken escapes and half turns come back as they were."""
+    rng = random.Random(11)
+    pieces = ["### ", "</turn>", "\n</turn>\n", "\n", "\\", "%", "%zz", "%4", "%E9", ": ", ":", "user", "a", " ", "### %zz: hi", "$1", "+", "<chat 1>\n"]
+    rows = [(c, k, rng.choice(["user", "assistant", "%zz", "a%41", "### ", ": ", "+ ", "é\n"]), "".join(rng.choices(pieces, k=rng.randint(0, 7)))) for c in range(10_000) for k in range(rng.randint(1, 3))]
+    rows.append((10_000, 0, "user", "x\n</turn>\n### %zz: hi"))
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {}
+    for c, _, role, text in rows:
+        want.setdefault(c, []).append((role, text))
+    for r in made.select("conv_id", chat.parse(made["formatted"]).alias("turns")).toLocalIterator():
+        assert [tuple(t) for t in r.turns] == want[r.conv_id]
+
+
 def test_chat_nulls_and_ties(spark):
     rows = [(1, None, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "assistant", "x"), (2, 0, "assistant", "y" * 100000)]
     made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
