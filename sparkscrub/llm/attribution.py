@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .encoder import encoder
 from .tokens import runs
 
@@ -79,4 +80,4 @@ def token_counts(docs: DataFrame, path: str, rule: str = "first", fields: list[s
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)).take(pa.array(owner)), *[pa.array(np.concatenate(c), pa.int64()) for c in out]],
                                                  names=names)
 
-    return rows.mapInArrow(run, "doc_id long, section long, start long, length long, n_tokens long, n_crossing long")
+    return rows.mapInArrow(tidy(run), "doc_id long, section long, start long, length long, n_tokens long, n_crossing long")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,10 +80,14 @@ _LOWER[65:91] = _BYTE[97:123]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(1 << 12, 1 << (n - 1).bit_length()) if n else 1 << 12
     if size not in _STEP:
-        _STEP.clear()
+        if len(_STEP) > 3:
+            _STEP.clear()
         up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
-        _STEP[size] = (np.cumprod(up), np.cumprod(down))
+        steps = (np.cumprod(up), np.cumprod(down))
+        if size > 2 * SLICE_BYTES:  # a long text's own
+            return steps
+        _STEP[size] = steps
     return _STEP[size]
 
 
@@ -94,6 +100,60 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def hashed_words(data: np.ndarray, bounds: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word. A text longer than two slices is hashed slice by slice, cut before white space, so that only its hashes grow."""
+    if len(data) <= 2 * limit or len(bounds) > 2:
+        starts, ends, row = words(data, bounds)
+        return word_hashes(data, starts, ends), row
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + limit, len(data))
+        while end < len(data):
+            white = np.flatnonzero(WHITE[data[end:end + limit]])
+            end = min(len(data), end + (int(white[0]) if len(white) else limit))
+            if len(white):
+                break
+        part = data[at:end]
+        starts, ends, _ = words(part, np.array([0, len(part)]))
+        parts.append(word_hashes(part, starts, ends))
+        at = end
+    hashes = np.concatenate(parts)
+    return hashes, np.zeros(len(hashes), np.int64)
+
+
+_LIBC = ctypes.util.find_library("c")
+
+
+def give_back() -> None:
+    """Hand memory that Arrow and the C library keep for later back to the machine: Python workers live longer than a stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(_LIBC), "malloc_trim", None) if _LIBC else None
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that gives memory back when its task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of one group, after large groups."""
+
+    def wrapped(rows):
+        out = run(rows)
+        if len(rows) > 500:
+            give_back()
+        return out
+
+    return wrapped
+
+
 def arrow_struct(**columns: pa.DataType) -> pa.Schema:
     return pa.schema(list(columns.items()))
 
@@ -135,4 +195,4 @@ def likely(df: DataFrame, key: str, bits: tuple[int, object]) -> DataFrame:
             if keep.any():
                 yield batch.select(names).filter(pa.array(keep))
 
-    return df.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(1 << log2))).mapInArrow(run, df.schema)
+    return df.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(1 << log2))).mapInArrow(tidy(run), df.schema)

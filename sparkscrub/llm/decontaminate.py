@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Edits allowed per character of an item.
 RATE = 0.05
 BLOCK_CHARS = 2_000_000
@@ -172,5 +174,5 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "te
         return run
 
     for block in item_blocks(items.select(F.lit(0).alias("item_id"), "text"), "item_id", "text"):
-        docs = docs.mapInArrow(task(spark.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(tidy(task(spark.sparkContext.broadcast(block))), docs.schema)
     return docs

@@ -2,8 +2,11 @@
 
 Byte-level tokenizers with the usual split (no normalizer, no added prefix space) never join a character and the white space after it, and
 look at nothing to the left; nor do they join a letter and a mark after it. So a text may be cut before every white-space run that follows
-another character, and between a Latin letter and an ASCII mark, and equal pieces have equal ids wherever they stand. Pieces are encoded once by the library and remembered. Texts with separator control characters
-(on which definitions of white space differ) and other tokenizers' texts are encoded whole. Either way the ids are those of the whole text."""
+another character, and between a Latin letter and an ASCII mark, and equal pieces have equal ids wherever they stand. Pieces are encoded
+once by the library and remembered in two generations: a piece met again moves to the young one, and when that is full the old one is
+given up, so frequent pieces stay. Texts with separator control characters (on which definitions of white space differ), texts that hold
+one of the tokenizer's added tokens (such as its end-of-text mark, which the library reads as that token) and all texts of other tokenizers
+are encoded whole. Either way the ids are those of the library's plain call on the whole text."""
 
 from __future__ import annotations
 
@@ -14,77 +17,109 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Pieces remembered at most; then the memory starts anew.
-REMEMBERED = 300_000
+#: Pieces in a full generation.
+REMEMBERED = 200_000
 _PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-/:-@\[-`{-~]|$)|\s*\S+|\s+")
 _UNCLEAR = re.compile("[\x1c-\x1f]")
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+class Memory:
+    """Pieces with their ids and, on demand, the characters each id spans, counted from the piece's start."""
+
+    def __init__(self, offsets: bool):
+        self.index: dict[str, int] = {}
+        self.begin, self.count, self.chars = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.ids, self.low, self.high = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self.offsets, self.used = offsets, 0
+
+    def add(self, pieces: list[str], count: np.ndarray, chars: np.ndarray, ids: np.ndarray, low: np.ndarray | None, high: np.ndarray | None) -> None:
+        first, need, end = len(self.index), len(self.index) + len(pieces), self.used + len(ids)
+        self.begin, self.count, self.chars = (_grown(a, need) for a in (self.begin, self.count, self.chars))
+        self.ids = _grown(self.ids, end)
+        self.begin[first:need] = self.used + np.cumsum(count) - count
+        self.count[first:need], self.chars[first:need], self.ids[self.used:end] = count, chars, ids
+        if self.offsets:
+            self.low, self.high = _grown(self.low, end), _grown(self.high, end)
+            self.low[self.used:end], self.high[self.used:end] = low, high
+        self.used = end
+        self.index.update(zip(pieces, range(first, need)))
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each row, positions of all their ids)."""
+        count = self.count[rows]
+        stop = np.cumsum(count)
+        return count, np.repeat(self.begin[rows] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+
+
 class Encoder:
     def __init__(self, path: str, offsets: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.offsets = offsets
         parts = json.loads(self.model.to_str())
         split = parts["pre_tokenizer"] or {}
         self.by_piece = bool(parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
                          and parts["truncation"] is None and parts["post_processor"] is None)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.begin, self.count, self.chars = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.ids, self.low, self.high = (np.zeros(1 << 14, np.int32) for _ in range(3))
-        self.used = 0
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.young, self.old = Memory(offsets), Memory(offsets)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, all of them as the words of one input, and remember their ids (and spans, counted from each piece's start)."""
+        """Encode new pieces, all of them as the words of one input, and remember them."""
         done = self.model.encode_batch([pieces] if self.by_piece else pieces, is_pretokenized=self.by_piece, add_special_tokens=False)
         ids = np.array(list(chain.from_iterable(e.ids for e in done)), np.int32)
         piece = np.array(done[0].word_ids, np.int64) if self.by_piece else np.repeat(np.arange(len(pieces)), [len(e.ids) for e in done])
-        first, sizes = len(self.index), np.bincount(piece, minlength=len(pieces))
-        end, need = self.used + len(ids), len(self.index) + len(pieces)
-        grown = lambda a, n: a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
-        self.begin, self.count, self.chars = (grown(a, need) for a in (self.begin, self.count, self.chars))
-        self.ids = grown(self.ids, end)
-        self.count[first:need] = sizes
-        self.begin[first:need] = self.used + np.cumsum(sizes) - sizes
-        self.chars[first:need] = [len(p) for p in pieces]
-        self.ids[self.used:end] = ids
+        low = high = None
         if self.offsets:
-            self.low, self.high = grown(self.low, end), grown(self.high, end)
             spans = np.array(list(chain.from_iterable(e.offsets for e in done)), np.int64).reshape(-1, 2)
-            self.low[self.used:end], self.high[self.used:end] = spans[:, 0], spans[:, 1]
-        self.used = end
-        self.index.update(zip(pieces, range(first, need)))
+            low, high = spans[:, 0], spans[:, 1]
+        self.young.add(pieces, np.bincount(piece, minlength=len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)), ids, low, high)
+
+    def _recall(self, pieces: list[str]) -> None:
+        """Bring pieces into the young memory: from the old one, else from the library."""
+        found = np.fromiter(map(self.old.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        known = np.flatnonzero(found >= 0)
+        if len(known):
+            count, at = self.old.places(found[known])
+            spans = (self.old.low[at], self.old.high[at]) if self.offsets else (None, None)
+            self.young.add([pieces[i] for i in known], count, self.old.chars[found[known]], self.old.ids[at], *spans)
+        if len(known) < len(pieces):
+            self._learn([pieces[i] for i in np.flatnonzero(found < 0)])
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text must not be cut into pieces."""
+        return not self.by_piece or bool(_UNCLEAR.search(text)) or any(t in text for t in self.added)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """(ids of all texts one after the other, n + 1 cuts, first and end character of each token in its text or None)."""
-        if len(self.index) > REMEMBERED:
-            self._forget()
-        clear = self.by_piece and not _UNCLEAR.search("".join(texts))
-        pieces = [_PIECE.findall(t) if clear or self.by_piece and not _UNCLEAR.search(t) else [t] * bool(t) for t in texts]
+        if len(self.young.index) > REMEMBERED:
+            self.young, self.old = Memory(self.offsets), self.young
+        memory = self.young
+        if self._whole("\n".join(texts)):
+            pieces = [[t] * bool(t) if self._whole(t) else _PIECE.findall(t) for t in texts]
+        else:
+            pieces = [_PIECE.findall(t) for t in texts]
         flat = list(chain.from_iterable(pieces))
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        at = np.fromiter(map(memory.index.get, flat, repeat(-1)), np.int64, len(flat))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
-            self._learn(list(dict.fromkeys(flat[i] for i in unknown)))
-            at[unknown] = [self.index[flat[i]] for i in unknown]
-        count = self.count[at]
-        stop = np.cumsum(count)
-        source = np.repeat(self.begin[at] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+            self._recall(list(dict.fromkeys([flat[i] for i in unknown])))
+            at[unknown] = [memory.index[flat[i]] for i in unknown]
+        count, source = memory.places(at)
         per_text = np.array([len(p) for p in pieces], np.int64)
-        cuts = np.r_[0, stop][np.r_[0, np.cumsum(per_text)]]
+        cuts = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(per_text)]]
         if not self.offsets:
-            return self.ids[source], cuts, None, None
-        chars = self.chars[at]
+            return memory.ids[source], cuts, None, None
+        chars = memory.chars[at]
         before = np.cumsum(chars) - chars
         text_before = np.r_[before, before[-1] + chars[-1] if len(chars) else 0][np.cumsum(per_text) - per_text]
         shift = np.repeat(before - np.repeat(text_before, per_text), count)
-        return self.ids[source], cuts, self.low[source] + shift, self.high[source] + shift
+        return memory.ids[source], cuts, memory.low[source] + shift, memory.high[source] + shift
 
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}

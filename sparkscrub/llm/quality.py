@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, slices, word_hashes, words
+from .common import WHITE, slices, tidy, word_hashes, words
 
 PASSAGE_WORDS = 64
 #: Labelled documents the model is fitted on at most, and passages of theirs from which on no further document is taken.
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(start, end - start).cast(pa.int64()), batch["h"].slice(start, end - start),
                                                   pa.array(n, pa.int64())], names=["id", "h", "n"])
 
-    sizes = texts.mapInArrow(count, "id long, h long, n long").groupBy("h", "id").agg(F.sum("n").alias("n")).orderBy("h", "id").collect()
+    sizes = texts.mapInArrow(tidy(count), "id long, h long, n long").groupBy("h", "id").agg(F.sum("n").alias("n")).orderBy("h", "id").collect()
     total = np.cumsum([0] + [r["n"] for r in sizes])[:-1]
     taken = [r["id"] for r, before in zip(sizes, total) if before < TRAIN_PASSAGES]
     if len(taken) < len(sizes):
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                                                   pa.array([len(r) for r in rows], pa.int32()),
                                                   pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "y", "n", "x"])
 
-    rows = sorted(texts.mapInArrow(describe, schema).collect(), key=lambda r: (r["id"], bytes(r["x"])))
+    rows = sorted(texts.mapInArrow(tidy(describe), schema).collect(), key=lambda r: (r["id"], bytes(r["x"])))
     bags = [np.frombuffer(r["x"], "<f4").reshape(r["n"], FEATURES).astype(float) for r in rows]
     return train(bags, np.array([r["y"] for r in rows]))
 
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text", out: str =
                 scores[start:end] = model.score(*passages(data, bounds))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

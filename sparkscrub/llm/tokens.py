@@ -4,7 +4,7 @@ Documents are ranged by id, encoded whole and written one file per range with ro
 with its integer run-length encoding; the row index and the Bloom filter of doc_id let a reader of few documents skip stripes and row
 groups. `start` (tokens of all documents before) is a running total in two steps: the files' sums, then the rows of each file.
 
-A null text is empty and has the end id alone. Null ids come first. Rows that repeat an id stay separate, in the order of their tokens."""
+A null text is empty and has the end id alone. Null ids come first. Rows that repeat an id stay separate, in the order of their texts."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .encoder import encoder
 
 END_ID = 2
@@ -57,12 +58,12 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(texts)), pa.array(np.diff(cuts), pa.int64()), ids],
                                                  names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID) -> None:
     """Write the ids of all documents in ascending id; one file per range of ids."""
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = encode(ranged, path, end_id).withColumn("file", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     (rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
      .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).option("orc.compress", "zstd").orc(folder))
@@ -96,7 +97,7 @@ def checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "n_tokens", "file", "row")] + [pa.array(sums, pa.int64())],
                                              names=["doc_id", "n_tokens", "file", "row", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, file int, row long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, file int, row long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID) -> DataFrame:

@@ -8,18 +8,17 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkscrub.llm import attribution, tokens, warc
+from sparkscrub.llm import attribution, encoder, tokens, warc
 from sparkscrub.llm.encoder import Encoder
 from sparkscrub.session import fresh_path
 
 PATH = tokens.default_path()
 MODEL = Tokenizer.from_file(PATH)
-MODEL.encode_special_tokens = True
 KEPT = Encoder(PATH, offsets=True)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab É'sß.,!  \n\t\r \x1c\x85 ½²٣😀_%中"), max_size=30), max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*"ab É'sß.,!  \n\t\r \x1c\x85 ½²٣😀_%中", "<|endoftext|>"]), max_size=30).map("".join), max_size=4))
 def test_encoder_gives_the_library_ids(texts):
     ids, cuts, low, high = KEPT.encode(texts)
     for k, e in enumerate(MODEL.encode_batch(texts, add_special_tokens=False)):
@@ -28,6 +27,33 @@ def test_encoder_gives_the_library_ids(texts):
         assert list(zip(low[own].tolist(), high[own].tolist())) == e.offsets
 
 
+def test_memory_keeps_frequent_pieces(monkeypatch):
+    """Generations change many times; ids stay those of the library, and a piece met in every batch is encoded once."""
+    monkeypatch.setattr(encoder, "REMEMBERED", 50)
+    model, learnt = Encoder(PATH, offsets=True), []
+    learn = model._learn
+    monkeypatch.setattr(model, "_learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    for k in range(60):
+        texts = [f"always {k}x{j} word{k * 7 + j}, here <|endoftext|>" if j % 9 == 0 else f"always {k}x{j} word{k * 7 + j}, here" for j in range(20)]
+        ids, cuts, low, high = model.encode(texts)
+        for j, e in enumerate(MODEL.encode_batch(texts, add_special_tokens=False)):
+            assert ids[cuts[j]:cuts[j + 1]].tolist() == e.ids and list(zip(low[cuts[j]:cuts[j + 1]].tolist(), high[cuts[j]:cuts[j + 1]].tolist())) == e.offsets
+    assert learnt.count("always") == 1 and learnt.count(" here") == 1
+    assert 50256 in MODEL.encode("x <|endoftext|> y", add_special_tokens=False).ids
+
+
+def test_repeated_ids_are_ordered_by_text(spark):
+    rows = [(1, t) for t in "zebra apple mango kiwi fig".split()]
+    for parts in (1, 5):
+        got = tokens.token_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), fresh_path(spark, "tokens"), PATH).collect()
+        want, at = [], 0
+        for _, t in sorted(rows):
+            ids = MODEL.encode(t, add_special_tokens=False).ids + [tokens.END_ID]
+            want.append((at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+        assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
 DOCS = [(5, "Hello, world! <|endoftext|> it's"), (2, None), (9, ""), (3, "  x\n\ny  "), (3, "again"), (None, "null id"), (7, "word " * 20000), (1, "É" * 300)]
 
 
