@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import tidy
 
 #: Links that one task contracts at once (about 100 bytes each).
 LOCAL_LINKS = 300_000
@@ -66,7 +67,7 @@ def components(links: DataFrame, a: str, b: str, local: int = LOCAL_LINKS) -> Da
     edges = materialize(edges)
     while True:
         parts = max(1, math.ceil(edges.count() / local))
-        edges = materialize(edges.coalesce(parts).mapInArrow(_contract, "u long, v long"))
+        edges = materialize(edges.coalesce(parts).mapInArrow(tidy(_contract), "u long, v long"))
         if parts == 1 or _is_done(edges):
             break
         edges = materialize(_small(_large(edges)))

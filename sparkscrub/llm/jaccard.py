@@ -8,7 +8,8 @@ which are cut into blocks by set size, and compared there in two rounds. The fir
 shingle): the sketches of two sets differ in at most as many bits as the sets differ in shingles, so pairs that differ in too many bits
 are ruled out for certain. What is left forms new neighbourhoods, and only their sets are compared in full. Within a pair of blocks
 
-* a set looks only at the stretch of blocks and list positions whose sizes can reach the threshold (index skipping), and
+* lists hold positions of sets in order of size, and a set reads only the stretch of each list whose sizes can reach the threshold and
+  that stands before it; the rest is skipped (index skipping), and
 * the overlaps of a set that is close to the previous one are derived from that one's overlaps: only the lists of the shingles
   in which the two differ are read (answer skipping).
 
@@ -26,21 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely, mix, slices, slot_bits, stored, word_hashes, words
+from .common import hashed_words, likely, mix, slices, slot_bits, stored, tidy, tidy_group
 from .components import components
 
 #: A block holds about so many sets and shingles, with sketches and with full sets.
 SKETCH_BLOCK, SET_BLOCK = (1024, 2_000_000), (512, 200_000)
 #: Neighbourhoods of up to so many sets share blocks.
 SMALL = 64
+#: Rows (of 24 bytes) of the cuts of large neighbourhoods that are broadcast; more of them are joined over so many salts.
+BROADCAST_CUTS, SALTS = 200_000, 16
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingles of all rows one after the other, n + 1 cuts).
 
     A row with fewer than `width` words has its whole sequence as one shingle; a row without words has none."""
-    starts, ends, row = words(data, bounds)
-    h = word_hashes(data, starts, ends)
+    h, row = hashed_words(data, bounds)
     n_rows = len(bounds) - 1
     per_row = np.bincount(row, minlength=n_rows)
     first = np.cumsum(per_row) - per_row
@@ -121,7 +123,7 @@ def _index_pass(width: int, share: int):
                     inside[i] = np.searchsorted(own, limit << np.uint64(32)) if limit < 1 << 32 else len(own)
                     picks.append(own[:max(inside[i], int(n[i] - -(-share * n[i] // 100) + 1))])
                     who.append(np.full(len(picks[-1]), i))
-                if len(seen) > 100_000:
+                if len(seen) > 20_000:
                     seen = set()
                 if picks:
                     of = np.concatenate(who)
@@ -171,10 +173,11 @@ class Forest:
         return a != b
 
 
-def join_block(sets: list[np.ndarray], left: np.ndarray, share: int) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], left: np.ndarray, share: int, counts: dict[str, int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets; with two sides, only links across them.
 
-    `left` is True for sets of the first side; all True means a join of one side with itself."""
+    `left` is True for sets of the first side; all True means a join of one side with itself. `counts` takes how many list entries were
+    read, how many of the same lists were skipped by position, and how many lists answers derived from the previous set's spared."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[i] for i in order]
     side = left[order]
@@ -189,34 +192,40 @@ def join_block(sets: list[np.ndarray], left: np.ndarray, share: int) -> list[tup
     by_word = np.argsort(word, kind="stable")  # within a list positions rise, so sizes rise too
     lists, heads = owner[by_word], np.searchsorted(word[by_word], np.arange(len(times) + 1))
 
+    tally = counts if counts is not None else {}
+    tally.update({k: tally.get(k, 0) for k in ("read", "skipped", "spared")})
+
     def reading(tokens: np.ndarray, low: int, high: int) -> np.ndarray:
-        """How often each set from position low to high is in the lists of `tokens`."""
-        parts = []
-        for t in tokens:
-            entries = lists[heads[t]:heads[t + 1]]
-            if len(entries) > 64:  # skip to the stretch of positions that can matter
-                entries = entries[np.searchsorted(entries, low):np.searchsorted(entries, high)]
-            parts.append(entries)
-        return np.bincount(np.concatenate(parts), minlength=len(sets)) if parts else np.zeros(len(sets), int)
+        """How often each set from position low to high is in the lists of `tokens`; the lists' other stretches are skipped."""
+        parts = [lists[heads[t]:heads[t + 1]] for t in tokens]
+        whole = sum(map(len, parts))
+        parts = [p[np.searchsorted(p, low):np.searchsorted(p, high)] for p in parts]
+        entries = np.concatenate([*parts, lists[:0]])
+        tally["read"] += len(entries)
+        tally["skipped"] += whole - len(entries)
+        return np.bincount(entries - low, minlength=high - low)
 
     forest, found = Forest(len(sets)), []
     before = None
     for x in range(len(sets)):
-        low = int(np.searchsorted(n, -(-share * n[x] // 100)))
+        low = int(np.searchsorted(n, -(-share * n[x] // 100)))  # rises with x, so what is known of the previous set reaches as far down
         own = word[cut[x]:cut[x + 1]]
         overlap = None
-        if before is not None:
+        if before is not None and low < x:
             y, known, known_low = before
-            if known_low <= low and known[x] * 2 > n[x]:
-                other = word[cut[y]:cut[y + 1]]
-                plus, minus = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
-                overlap = known + reading(plus, 0, len(sets)) - reading(minus, 0, len(sets))
+            other = word[cut[y]:cut[y + 1]]
+            plus = np.setdiff1d(own, other, assume_unique=True)
+            common = len(own) - len(plus)
+            if common * 2 > len(own):
+                minus = np.setdiff1d(other, own, assume_unique=True)
+                overlap = np.empty(x - low, np.int64)
+                overlap[:y - low] = known[low - known_low:] + reading(plus, low, y) - reading(minus, low, y)
+                overlap[y - low:] = common  # y is the set just before x
+                tally["spared"] += common
         if overlap is None:
-            overlap = reading(own, 0, len(sets))
-        before = (x, overlap, 0)
-        earlier = np.arange(low, x)
-        hits = earlier[overlap[low:x] >= needed(n[low:x], n[x], share)]
-        for y in hits:
+            overlap = reading(own, low, x)
+        before = (x, overlap, low)
+        for y in np.flatnonzero(overlap >= needed(n[low:x], n[x], share)) + low:
             if (not across or side[x] != side[y]) and forest.join(x, int(y)):
                 found.append((int(order[x]), int(order[y])))
     return found
@@ -282,13 +291,20 @@ def _blocks(areas: DataFrame, reps: DataFrame, met: DataFrame, share: int, limit
     members = stored(areas.join(reps, "rep").withColumn("band", band), f"{label}-members")
     totals = members.groupBy("area").agg(F.count("*").alias("area_sets"), F.sum("n").alias("area_shingles"))
     totals = totals.withColumn("small", (F.col("area_sets") <= SMALL) & (F.col("area_shingles") <= most_shingles // 4))
-    in_band = members.groupBy("area", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    in_band = members.join(totals.filter("not small").select("area"), "area", "left_semi").groupBy("area", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("sets") / most_sets), F.ceil(F.col("shingles") / most_shingles)).cast("long")
-    cuts = in_band.join(totals, "area").select("area", "band", "small", parts.alias("parts"))
+    cuts = stored(in_band.select("area", "band", parts.alias("parts")), f"{label}-cuts")  # of large neighbourhoods alone
     n_small = totals.filter("small").agg(F.sum("area_sets"), F.sum("area_shingles")).first()
     shelves = max(1, math.ceil((n_small[0] or 0) / most_sets), math.ceil((n_small[1] or 0) / most_shingles))
     block = F.when(F.col("small"), F.pmod(F.xxhash64("area"), F.lit(shelves))).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")))
-    placed = stored(members.join(cuts, ["area", "band"]).select("rep", "f1", "f2", "n", "area", "band", "small", block.alias("block")), f"{label}-placed")
+    if cuts.count() <= BROADCAST_CUTS:
+        cut_members = members.join(F.broadcast(cuts), ["area", "band"], "left")
+    else:  # a neighbourhood may hold a third of all sets: its rows are dealt out over salts
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+        copies = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        cut_members = salted.join(copies, ["area", "band", "salt"], "left").drop("salt")
+    placed = cut_members.withColumn("small", F.col("parts").isNull()).select("rep", "f1", "f2", "n", "area", "band", "small", block.alias("block"))
+    placed = stored(placed, f"{label}-placed")
 
     # two blocks are compared when their sizes fit and an indexed shingle lies in both
     large = placed.filter("not small").select("f1", "area", "band", "block")
@@ -313,13 +329,14 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     100 * common shingles >= share * all shingles of both. Rows without words link with nothing. Rows that repeat an id are
     each given their own text's answer. A row with a null id answers with the smallest id it is linked to, null if none."""
     docs = docs.select("doc_id", "text")
-    documents = stored(docs.mapInArrow(_first_pass(width), "doc_id long, n long, f1 long, f2 long, sketch binary"), "sets")
+    documents = stored(docs.mapInArrow(tidy(_first_pass(width)), "doc_id long, n long, f1 long, f2 long, sketch binary"), "sets")
     reps = documents.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep is not null")
 
-    index = stored(docs.mapInArrow(_index_pass(width, share), "shingle long, f1 long, n int, inside int"), "index")
+    index = stored(docs.mapInArrow(tidy(_index_pass(width, share)), "shingle long, f1 long, n int, inside int"), "index")
     meeting = index.groupBy("shingle").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count("*").alias("times"))
     meeting = stored(meeting.filter("lo <> hi").select("shingle", "times"), "meeting")
-    held = likely(index, "shingle", slot_bits(meeting, "shingle")).join(meeting, "shingle").distinct()
+    met_bits = slot_bits(meeting, "shingle")
+    held = likely(index, "shingle", met_bits).join(meeting, "shingle").distinct()
     held = held.withColumn("zoned", F.shiftrightunsigned("shingle", 32) < zone(share))
     of_set = Window.partitionBy("f1", "zoned")
     free = F.col("n") - F.ceil(F.col("n") * share / 100) + 1 - (F.col("inside") - F.count("*").over(of_set))  # what unshared shingles leave of the prefix
@@ -327,6 +344,7 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     # the prefixes' shared shingles; sets meet there in neighbouring sizes (each entry stands in its own band and the next)
     met = held.filter("not zoned or place <= free").withColumn("band", F.floor(F.log("n") / -math.log(share / 100) + 1e-9).cast("int"))
     met = stored(met.select("shingle", "f1", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("level")), "met")
+    met_bits[1].destroy()
     levels = met.groupBy("shingle", "level").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("shingle", "level", "lo")
     edges = met.join(levels, ["shingle", "level"]).select("f1", "lo").filter("f1 <> lo").distinct()
     areas = components(edges, "f1", "lo").select(F.col("node").alias("f1"), F.col("component").alias("area"))
@@ -335,15 +353,17 @@ def linked_sets(docs: DataFrame, share: int = 90, width: int = 3) -> DataFrame:
     roles = _blocks(areas, reps, met, share, SKETCH_BLOCK, "near")
     sketches = documents.select(F.col("doc_id").alias("rep"), "f1", "f2", "sketch").join(roles, ["rep", "f1", "f2"])
     sketches = sketches.select("rep", "area", "n", "sketch", F.explode("pairs").alias("p")).select("rep", "area", "n", "sketch", "p.pair", "p.side")
-    close = stored(sketches.groupBy("pair").applyInPandas(_sketch_task(share), "a long, b long"), "close")
+    close = stored(sketches.groupBy("pair").applyInPandas(tidy_group(_sketch_task(share)), "a long, b long"), "close")
 
     areas = components(close, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("area"))
     roles = stored(_blocks(areas, reps, met, share, SET_BLOCK, "set"), "roles")
-    wanted = likely(docs, "doc_id", slot_bits(roles, "rep"))
+    rep_bits = slot_bits(roles, "rep")
+    wanted = likely(docs, "doc_id", rep_bits)
     sets = wanted.join(roles.withColumn("doc_id", F.col("rep")), "doc_id").select("rep", "f1", "f2", "area", "pairs", "text").mapInArrow(
-        _set_pass(width), "rep long, area long, pair string, side int, members binary")
-    links = stored(sets.groupBy("pair").applyInPandas(_join_task(share), "a long, b long"), "links")
+        tidy(_set_pass(width)), "rep long, area long, pair string, side int, members binary")
+    links = stored(sets.groupBy("pair").applyInPandas(tidy_group(_join_task(share)), "a long, b long"), "links")
 
+    rep_bits[1].destroy()
     classes = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("class"))
     answers = reps.select("f1", "f2", "rep").join(classes, "rep", "left").select("f1", "f2", F.coalesce("class", "rep").alias("class"))
     with_words = documents.filter("n > 0").join(answers, ["f1", "f2"], "left")

@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix-1") -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as it is taken. Only one row per source meets the documents; they are not shuffled by id."""
     _, plan = cuts(docs.select("doc_id", "source", "text"), weights, most, seed)
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("own_source"),
+    body = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"), F.col("source").alias("own_source"),
                        F.coalesce("doc_id", F.lit(-1)).alias("id"), key("doc_id", "text", seed).alias("key"))
     taken = _planned(body, plan, "own_source").withColumn("n", copies()).filter("n > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).select("row.*")

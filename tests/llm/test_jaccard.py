@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkscrub.llm import jaccard, stages
+from sparkscrub.llm import common, jaccard, stages
 from tests.llm.brute import jaccard_classes
 
 SCHEMA = "doc_id long, text string, source string, n int, f1 string"
@@ -64,3 +64,48 @@ def test_sketches_never_rule_out_a_link():
             linked = 100 * common >= 90 * (len(base) + len(other) - common)
             found = jaccard.sketch_block(np.array([len(base), len(other)]), [jaccard.sketch(base), jaccard.sketch(other)], np.array([True, True]), 90)
             assert found or not linked
+
+
+def test_skipping_by_position_and_by_answers():
+    """Sets of many sizes: stretches of lists that sizes rule out are not read, near copies read only what differs, and no link is lost."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
+    sets = []
+    for n in range(20, 400, 20):
+        base = rng.choice(pool, n, replace=False)
+        for k in range(4):
+            sets.append(np.unique(np.r_[base[k:], rng.choice(pool, k)]))
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    for left in (np.ones(len(sets), bool), np.arange(len(sets)) % 2 == 0):
+        counts: dict = {}
+        found = jaccard.join_block(sets, left, 80, counts)
+        ours, want = jaccard.Forest(len(sets)), jaccard.Forest(len(sets))
+        for a, b in found:
+            ours.join(a, b)
+        pairs = 0
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if (left.all() or left[a] != left[b]) and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                    want.join(a, b)
+                    pairs += 1
+        assert pairs and [ours.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+        assert counts["skipped"] > counts["read"] > 0 and counts["spared"] > 0
+
+
+def test_long_texts_are_hashed_in_slices():
+    text = ("Word " * 50 + "x" * 700 + "\n\t" + "é" * 90 + " End ").encode() * 3
+    data = np.frombuffer(text, np.uint8)
+    bounds = np.array([0, len(data)])
+    plain = common.hashed_words(data, bounds, 1 << 20)
+    for limit in (1, 7, 64, 500):
+        sliced = common.hashed_words(data, bounds, limit)
+        assert (sliced[0] == plain[0]).all() and (sliced[1] == plain[1]).all()
+
+
+def test_stage_keeps_columns_and_one_row_of_an_id(spark):
+    rows = [(1, "b c d e f g", 5), (1, "a c d e f g", 6), (2, "x y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `odd ``na.me` int")
+    for parts in (1, 4):
+        kept = stages.keep_distinct(docs.repartition(parts))
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a c d e f g", 6), (2, "x y", 7)]
