@@ -12,6 +12,7 @@ from ..functions import names, numbers
 from ..functions import text as X
 from ..operators.rows import q
 from ..plans.profile import Profile
+from . import quoted
 
 # Spark reads Latin-1 but not its Windows variant: the 32 positions that differ are translated after reading.
 _C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
@@ -82,8 +83,8 @@ def sniff_separator(head: list[str]) -> tuple[str, bool]:
 def read_text_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
     """SRC-1 / SRC-3: every column as text. Surplus cells become columna_extra_N, short rows are padded with NULL.
 
-    The first record of every file is its header, whatever later rows hold. Files are split unless a quoted line break is seen. Files of
-    different encodings are read apart and put together."""
+    The first record of every file is its header, whatever later rows hold. Files are read in splits, also when quoted cells hold line
+    breaks (only UTF-16 is then read whole). Files of different encodings are read apart and put together."""
     encodings = {encoding: [path]} if encoding else sniff_encodings(spark, path)
     kind = next(iter(encodings))
     head = _head_bytes(spark, path, HEAD_BYTES).decode("ISO-8859-1" if kind != "UTF-16" and kind != "UTF-8" else kind, "ignore").lstrip("\ufeff").splitlines()
@@ -104,7 +105,10 @@ def read_text_table(spark: SparkSession, path: str, sep: str | None = None, enco
     for name, files in encodings.items():
         options = {"sep": sep, "encoding": "ISO-8859-1" if name == "windows-1252" else name, "multiLine": str(several).lower(), "escape": '"', "mode": "PERMISSIVE",
                    "enforceSchema": "true", "header": "true"}
-        raw = spark.read.options(**options).schema(schema).csv(files)
+        if several and name != "UTF-16":
+            raw = quoted.read(spark, files, sep, options["encoding"], len(columns), {"escape": '"', "mode": "PERMISSIVE"})
+        else:
+            raw = spark.read.options(**options).schema(schema).csv(files)
         if name == "windows-1252":
             raw = raw.select(*[F.translate(q(c), _C1_LATIN, _C1_WINDOWS).alias(c) for c in raw.columns])
         parts.append(raw)

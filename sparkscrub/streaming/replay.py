@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..plans.recipe import apply
-
-STATEFUL = ("duplicados",)
+from ..operators.steps import apply_step
+from .repeats import without_duplicates
 
 
 def streamable(recipe: list[dict]) -> bool:
-    """Every step is row-local: no duplicate removal and no group medians left to compute."""
-    rules = [r for s in recipe for r in (s.get("reglas", []) if s["tipo"] == "cierre" else [s])]
-    return all(s["tipo"] not in STATEFUL for s in recipe) and all(
-        "por_grupo" in r for r in rules if r.get("regla") == "mediana_por_grupo")
+    """Whether every step can follow a stream. Medians of groups are a table the recipe names. Duplicates are dropped by keyed state; with
+    columns left out of the comparison the smallest of the duplicates stays, which is only known at the end, so that needs the whole table."""
+    return all(s["tipo"] != "duplicados" or not s.get("ignorar") for s in recipe)
 
 
 def replay(stream: DataFrame, recipe: list[dict]) -> DataFrame:
     if not streamable(recipe):
-        raise ValueError("la receta tiene pasos que necesitan toda la tabla (duplicados o medianas de muchos grupos)")
-    return apply(stream, recipe)
+        raise ValueError("la receta quita duplicados sin comparar todas las columnas: necesita toda la tabla")
+    for step in recipe:
+        stream = without_duplicates(stream) if step["tipo"] == "duplicados" else apply_step(stream, step)
+    return stream
 
 
 def replay_files(spark: SparkSession, source: str, schema: StructType, recipe: list[dict], target: str,

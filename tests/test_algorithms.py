@@ -73,7 +73,7 @@ def test_leader_clusters_in_several_rounds(spark):
             leaders.append(w)
     rows = [("c", w, -len(w) % 3, w) for w in words]
     df = spark.createDataFrame(rows, "columna string, norm string, menos long, texto string")
-    got = {r["norm"]: r["lider"] for r in leader_clusters(df, 0.75, per_round=20).collect()}
+    got = {r["norm"]: r["lider"] for r in leader_clusters(df, 0.75).collect()}
     assert got == expected
 
 
