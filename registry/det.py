@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from sparkscrub.operators import actions, audit, detect, formula
 from sparkscrub.operators.rows import ROW_ID, repeated_cells, repeated_rows
 from sparkscrub.plans.profile import Profile
+from sparkscrub.session import fresh_path
+from sparkscrub.streaming import repeats
 
 from .base import query, union_all
 from .fixtures import dirty, duck
@@ -44,6 +46,34 @@ def _(spark, sf):
     return repeated_rows(dirty(spark, sf, "dirty_customer"), C_COLUMNS, ROW_ID)
 
 
+def _arriving(spark, df, files=20):
+    """`df` as files of a stream."""
+    path = fresh_path(spark, "llegadas")
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+@query("det_02_stream_duplicates", duck("dirty_customer") + f"""
+SELECT _row_id FROM (SELECT _row_id, row_number() OVER (PARTITION BY {', '.join(C_COLUMNS)} ORDER BY _row_id) AS rn FROM dirty_customer)
+WHERE rn > 1""")
+def _(spark, sf):
+    """The customers arrive in 20 files, in any order; the rows given out are those of the batch detector."""
+    df = dirty(spark, sf, "dirty_customer")
+    target = fresh_path(spark, "repetidas")
+    repeats.find_repeats(spark, _arriving(spark, df), df.schema, C_COLUMNS, ROW_ID, target, fresh_path(spark, "estado"), whole_rows=True).awaitTermination()
+    return spark.read.schema("columna string, fila long").parquet(target).select(F.col("fila").alias("_row_id"))
+
+
+@query("det_09_stream_repeated_ids", duck("dirty_customer") + """
+SELECT 'id' AS columna, _row_id FROM (SELECT _row_id, row_number() OVER (PARTITION BY id ORDER BY _row_id) AS rn FROM dirty_customer)
+WHERE rn > 1""")
+def _(spark, sf):
+    df = dirty(spark, sf, "dirty_customer")
+    target = fresh_path(spark, "repetidas")
+    repeats.find_repeats(spark, _arriving(spark, df), df.schema, ["id"], ROW_ID, target, fresh_path(spark, "estado")).awaitTermination()
+    return spark.read.schema("columna string, fila long").parquet(target).select("columna", F.col("fila").alias("_row_id"))
+
+
 L_COLUMNS = ["l_orderkey", "l_linenumber", "l_returnflag"]
 
 
@@ -136,21 +166,26 @@ def _(spark, sf):
                       F.round(F.col("valor_sugerido").cast("double"), 2).alias("esperado"))
 
 
-def _rate(price: str) -> str:
-    e = f"cantidad * {price}"
-    return (f"SELECT '{price}' AS precio, round(count(*) FILTER (WHERE abs(total - {e}) <= greatest(abs({e}) * 0.01, 0.01)) * 1.0 "
-            f"/ count(*) FILTER (WHERE {e} IS NOT NULL), 4) AS tasa FROM d")
+_SIGNS = [(d, i) for d in ("l_discount", None) for i in ("l_tax", None)]
+
+
+def _rate(price: str, discount: str | None, tax: str | None) -> str:
+    e = f"(cantidad * {price}" + (f" - coalesce({discount}, 0)" if discount else "") + (f" + coalesce({tax}, 0)" if tax else "") + ")"
+    return (f"SELECT '{price}' AS precio, '{discount or ''}' AS descuento, '{tax or ''}' AS impuesto, "
+            f"round(count(*) FILTER (WHERE abs(total - {e}) <= greatest(abs({e}) * 0.01, 0.01)) * 1.0 / count(*) FILTER (WHERE {e} IS NOT NULL), 4) AS tasa FROM d")
 
 
 @query("det_11_formula_search", duck("dirty_lineitem") + """,
 d AS (SELECT *, precio_unitario / 2 AS tarifa FROM dirty_lineitem)
-""" + union_all([_rate(c) for c in ("precio_unitario", "tarifa")]))
+""" + union_all([_rate(c, d, i) for c in ("precio_unitario", "tarifa") for d, i in _SIGNS]))
 def _(spark, sf):
-    df = dirty(spark, sf, "dirty_lineitem").withColumn("tarifa", F.col("precio_unitario") / 2).drop("l_discount", "l_tax")
+    """Every form that the names of all columns allow, with and without discount and tax."""
+    df = dirty(spark, sf, "dirty_lineitem").withColumn("tarifa", F.col("precio_unitario") / 2)
     p = Profile(df, [c for c in df.columns if c != ROW_ID])
     rules = formula.candidate_rules(p.columns)
     rates = formula.match_rates(df, rules, p.guided_number)
-    return spark.createDataFrame([(r["precio"], round(x, 4)) for r, x in zip(rules, rates)], "precio string, tasa double")
+    return spark.createDataFrame([(r["precio"], r.get("descuento") or "", r.get("impuesto") or "", round(x, 4)) for r, x in zip(rules, rates)],
+                                 "precio string, descuento string, impuesto string, tasa double")
 
 
 @query("det_12_formula_rows", duck("dirty_lineitem") + f"""

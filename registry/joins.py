@@ -421,6 +421,16 @@ def _(spark, sf):
     return delimited.read_delimited(spark, written_csv(spark, sf))
 
 
+@query("src_01_quoted_line_breaks", duck("dirty_customer") + """
+SELECT CAST(_row_id AS VARCHAR) AS _row_id, 'de ' || nombre || chr(10) || 'dijo "' || estado || '", ' || segmento AS nota, CASE WHEN saldo <> '' THEN saldo END AS saldo FROM dirty_customer""")
+def _(spark, sf):
+    """Cells with line breaks, quotes and separators inside; files are read in splits."""
+    df = dirty(spark, sf, "dirty_customer")
+    note = F.concat(F.lit("de "), "nombre", F.lit('\ndijo "'), "estado", F.lit('", '), "segmento")
+    path = delimited.write_delimited(df.select("_row_id", note.alias("nota"), "saldo"), fresh_path(spark, "notas") + ".csv")
+    return delimited.read_delimited(spark, path, typed=False)
+
+
 @query("src_02_leading_zero_codes", "SELECT 'postal' AS columna")
 def _(spark, sf):
     return rows(spark, [(c,) for c in delimited.code_columns(delimited.read_text_table(spark, written_csv(spark, sf)))], "columna string")
@@ -438,9 +448,11 @@ def _(spark, sf):
 
 
 @query("src_04_all_text", """
-SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS entero FROM orders""")
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, coalesce(o_orderstatus, '') AS o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+  coalesce(o_orderpriority, '') AS o_orderpriority, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS o_totalprice FROM orders""")
 def _(spark, sf):
-    return delimited.all_text(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", F.floor("o_totalprice").cast("double").alias("entero")))
+    """All columns of the orders; prices in whole units, so that both engines print them alike."""
+    return delimited.all_text(table(spark, sf, "orders").withColumn("o_totalprice", F.floor("o_totalprice").cast("double")))
 
 
 def raw_sheet(spark, sf):

@@ -22,14 +22,17 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 #: Keys of one text at most, for its choice of k; rounds of step 1; bigrams whose frequency orders the sets (all others count as rarer).
-SUBSETS, SWEEPS, ORDERED = 60, 3, 50_000
+SUBSETS, SWEEPS, ORDERED = 200, 3, 50_000
+#: Texts that are compared one after the other instead.
+FEW = 300
 
 
 def similar(a: str, b: str, threshold: float) -> bool:
@@ -59,8 +62,11 @@ class Bounds:
     def chars(self, length: int) -> int:
         return math.ceil(self.t * length - 1e-9)
 
+    def longest(self, length: int) -> int:
+        return math.floor(length * (2 - self.t) / self.t + 1e-9)
+
     def subset(self, n: int, shared: int) -> int:
-        """How many members a key holds, for a text of n members that shares so many for certain."""
+        """How many members a key holds, when the longer text of a pair has up to n members and so many are shared for certain."""
         return next((k for k in (3, 2) if k <= shared and math.comb(n - shared + k, k) <= SUBSETS), 1)
 
     def prefixes(self, length: int) -> list[tuple[str, int, int]]:
@@ -68,9 +74,9 @@ class Bounds:
         kinds: dict[tuple[str, int], int] = {}
         for other in range(self.shortest(length), length + 1):  # lengths of the shorter text of a pair
             by_char = self.short is None or other <= self.short
-            kind, own, other_n = ("c", length, other) if by_char else ("b", length - 1, other - 1)
+            kind, own, most = ("c", length, self.longest(other)) if by_char else ("b", length - 1, self.longest(other) - 1)
             shared = self.chars(other) if by_char else self.bigrams(other)
-            k = self.subset(other_n, shared)
+            k = self.subset(most, shared)
             kinds[kind, k] = max(kinds.get((kind, k), 0), min(own, own - shared + k))
         return [(kind, k, size) for (kind, k), size in kinds.items()]
 
@@ -121,11 +127,29 @@ def _pairs(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
     return met.repartition("columna", "norm").mapInArrow(_alike(threshold), met.schema)
 
 
-def leader_clusters(norms: DataFrame, threshold: float, sweeps: int = SWEEPS) -> DataFrame:
-    """(columna, norm, lider) of (columna, norm, menos, texto); texts are taken in the order of (menos, texto). Texts are distinct in a column."""
-    place = Window.partitionBy("columna").orderBy("menos", "texto")
+def _in_order(threshold: float):
+    """The clusters of one column's few texts, one after the other."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        leaders, out = [], []
+        for menos, texto, norm in sorted(zip(rows["menos"], rows["texto"], rows["norm"]), key=lambda r: (r[0], r[1].encode())):
+            lead = next((x for x in leaders if similar(x, norm, threshold)), None)
+            if lead is None:
+                leaders.append(norm)
+            out.append((rows["columna"].iloc[0], norm, lead or norm))
+        return pd.DataFrame(out, columns=["columna", "norm", "lider"])
+
+    return run
+
+
+def leader_clusters(norms: DataFrame, threshold: float, sweeps: int = SWEEPS, few: int = FEW) -> DataFrame:
+    """(columna, norm, lider) of (columna, norm, menos, texto); texts are taken in the order of (menos, texto). Texts are distinct in a column.
+
+    Up to `few` texts need no index: a task takes those of a column in order."""
+    norms = materialize(norms.select("columna", "norm", "menos", "texto"))
+    if norms.limit(few + 1).count() <= few:
+        return norms.groupBy("columna").applyInPandas(_in_order(threshold), "columna string, norm string, lider string")
     ordered = materialize(norms.select("columna", F.struct("menos", "texto", "norm").alias("orden"), "norm"))
-    del place
     pieces = ordered.select(F.explode(F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1)))).alias("i"), "norm")
     frequent = pieces.groupBy(F.expr("substr(norm, i, 2)").alias("m")).count().orderBy(F.desc("count"), "m").limit(ORDERED).collect()
     frequency = {f"{r['m']}1": r["count"] for r in frequent}

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,6 +285,18 @@ def fit_equivalences(rows: list[dict]) -> dict:
     return {"tipo": "unificar", "mapeos": maps}
 
 
+def rounded(df: DataFrame, column: str, places: int) -> DataFrame:
+    """A double column rounded as the single fill values are: to the nearest decimal of the stored binary number, ties to even (`F.round` rounds
+    the printed decimal, half up, which differs for 2.675). For small tables, such as one row per group."""
+
+    def run(batches):
+        for batch in batches:
+            values = [None if x is None else round(x, places) for x in batch[column].to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(values, pa.float64()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str = "", tokens=V.NULL_TOKENS) -> dict:
     """GUI-18 to GUI-21: what fills the nulls of one column, worked out and frozen."""
     if rule not in RULES:
@@ -316,7 +329,7 @@ def fit_rule(df: DataFrame, column: str, rule: str, value: str = "", group: str
             step.update(grupo=group, decimales=places)
             medians = group_median(df, group, data).filter("mediana is not null")
             step["tabla"] = fresh_path(df.sparkSession, "medianas")  # the recipe names the table, whatever its size
-            medians.select(F.col("grupo").cast("string").alias("grupo"), F.round("mediana", places).alias("mediana")).write.parquet(step["tabla"])
+            rounded(medians.select(F.col("grupo").cast("string").alias("grupo"), "mediana"), "mediana", places).write.parquet(step["tabla"])
             whole = _medians(df.sparkSession, step).agg(F.bool_and(numbers.is_whole(F.col("__median")))).first()[0]
             step["entero"] = step["entero"] and bool(whole)
         step["entero"] = step["entero"] and float(step["relleno"]).is_integer()

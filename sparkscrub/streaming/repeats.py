@@ -146,14 +146,16 @@ def without_duplicates(stream: DataFrame) -> DataFrame:
     return once.dropDuplicates()
 
 
-def start(findings: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the findings of a stream to Parquet files; the keyed state needs Spark's RocksDB store, which is set for this query alone."""
+def start(findings: DataFrame, target: str, checkpoint: str, timers: bool = False) -> StreamingQuery:
+    """Append the findings of a stream to Parquet files; the keyed state needs Spark's RocksDB store, which is set for this query alone.
+
+    The query ends when all that has arrived is done. With timers it runs on until it is stopped: they need a clock that goes on."""
     conf = findings.sparkSession.conf
     before = conf.get(PROVIDER, None)
     conf.set(PROVIDER, ROCKSDB)
     try:
-        return (findings.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-                .trigger(availableNow=True).start(target))
+        writer = findings.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+        return (writer.trigger(processingTime="1 second") if timers else writer.trigger(availableNow=True)).start(target)
     finally:
         conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
 
@@ -162,4 +164,4 @@ def find_repeats(spark: SparkSession, source: str, schema: T.StructType, columns
                  whole_rows: bool = False, keep: float | None = None, files_per_trigger: int = 1000) -> StreamingQuery:
     """Repeats among the Parquet files that arrive below `source`: of whole rows (all of `columns` equal) or of each column's values."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    return start((repeated_rows if whole_rows else repeated_cells)(stream, columns, row_id, keep), target, checkpoint)
+    return start((repeated_rows if whole_rows else repeated_cells)(stream, columns, row_id, keep), target, checkpoint, keep is not None)

@@ -12,10 +12,8 @@ from sparkscrub.streaming import repeats, replay
 TABLE = "/root/testdata/sf0.001/events.parquet"
 
 
-def split(df, folder, files, order="i"):
-    """`df` in so many files, written one after the other in the order of a column."""
-    for k in range(files):
-        df.filter(F.col(order) % files == k).coalesce(1).write.mode("append").parquet(folder)
+def split(df, folder, files):
+    df.repartition(files).write.mode("append").parquet(folder)
 
 
 def hot(spark, rows=2000):
@@ -28,10 +26,10 @@ def hot(spark, rows=2000):
 @pytest.mark.parametrize("whole", [False, True])
 def test_repeats_equal_batch_with_a_restart(spark, whole):
     df, source, target, checkpoint = hot(spark), fresh_path(spark, "in"), fresh_path(spark, "out"), fresh_path(spark, "check")
-    split(df.filter("i % 20 < 11"), source, 20)
-    start = lambda: repeats.find_repeats(spark, source, df.schema, ["a", "b"], "fila", target, checkpoint, whole_rows=whole, files_per_trigger=3).awaitTermination()
+    split(df.filter("i % 20 < 11"), source, 11)
+    start = lambda: repeats.find_repeats(spark, source, df.schema, ["a", "b"], "fila", target, checkpoint, whole_rows=whole, files_per_trigger=6).awaitTermination()
     start()
-    split(df.filter("i % 20 >= 11"), source, 20)
+    split(df.filter("i % 20 >= 11"), source, 9)
     start()  # goes on with the keys of the first run
     got = sorted(map(tuple, spark.read.schema("columna string, fila long").parquet(target).collect()))
     if whole:
@@ -49,9 +47,8 @@ def test_recipe_with_duplicates_on_a_stream(spark):
     source, target, checkpoint = fresh_path(spark, "in"), fresh_path(spark, "out"), fresh_path(spark, "check")
     schema = plain.schema
     for part in ("i % 2 = 0", "i % 2 = 1"):
-        for k in range(10):
-            events.filter(part).filter(F.pmod(F.xxhash64("i"), F.lit(10)) == k).drop("i").coalesce(1).write.mode("append").parquet(source)
-        replay.replay_files(spark, source, schema, steps, target, checkpoint, files_per_trigger=4).awaitTermination()
+        split(events.filter(part).drop("i"), source, 10)
+        replay.replay_files(spark, source, schema, steps, target, checkpoint, files_per_trigger=5).awaitTermination()
     got = spark.read.parquet(target)
     want = recipe.apply(plain, steps)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() < plain.count()
@@ -64,12 +61,12 @@ def test_timers_forget_keys(spark):
 
     df = spark.createDataFrame([(1, "k")], "fila long, a string")
     source, target, checkpoint = fresh_path(spark, "in"), fresh_path(spark, "out"), fresh_path(spark, "check")
-    for wait, row in ((0, 1), (0, 2), (5, 3), (0, 4)):
+    query = None
+    for wait, row in ((0, 1), (0, 2), (7, 3)):
         time.sleep(wait)
-        if row == 3:  # a batch in which the timer fires
-            spark.createDataFrame([(100, "other")], df.schema).coalesce(1).write.mode("append").parquet(source)
-            repeats.find_repeats(spark, source, df.schema, ["a"], "fila", target, checkpoint, keep=3).awaitTermination()
         spark.createDataFrame([(row, "k")], df.schema).coalesce(1).write.mode("append").parquet(source)
-        repeats.find_repeats(spark, source, df.schema, ["a"], "fila", target, checkpoint, keep=3).awaitTermination()
+        query = query or repeats.find_repeats(spark, source, df.schema, ["a"], "fila", target, checkpoint, keep=2)
+        query.processAllAvailable()
+    query.stop()
     found = {r.fila for r in spark.read.schema("columna string, fila long").parquet(target).collect()}
     assert 2 in found and 3 not in found  # row 3 came after the key was forgotten
