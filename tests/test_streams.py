@@ -62,11 +62,13 @@ def test_timers_forget_keys(spark):
     df = spark.createDataFrame([(1, "k")], "fila long, a string")
     source, target, checkpoint = fresh_path(spark, "in"), fresh_path(spark, "out"), fresh_path(spark, "check")
     query = None
-    for wait, row in ((0, 1), (0, 2), (7, 3)):
+    for done, (wait, row) in enumerate(((0, 1), (0, 2), (22, 3)), 1):
         time.sleep(wait)
         spark.createDataFrame([(row, "k")], df.schema).coalesce(1).write.mode("append").parquet(source)
-        query = query or repeats.find_repeats(spark, source, df.schema, ["a"], "fila", target, checkpoint, keep=2)
-        query.processAllAvailable()
+        query = query or repeats.find_repeats(spark, source, df.schema, ["a"], "fila", target, checkpoint, keep=14)
+        end = time.time() + 40  # the clock of the timers never stands still, so the query is never idle
+        while sum(p["numInputRows"] for p in query.recentProgress) < done and time.time() < end:
+            time.sleep(0.3)
     query.stop()
     found = {r.fila for r in spark.read.schema("columna string, fila long").parquet(target).collect()}
     assert 2 in found and 3 not in found  # row 3 came after the key was forgotten
