@@ -30,6 +30,7 @@ class Page:
         self.depths, self.orders, self.children = [0], [0], [0]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters inside links
         self._stack, self._pieces, self._linked, self._link = [0], [], 0, -1
+        self._where: dict[str, list[int]] = {}  # depths in the stack of the open elements of a tag, so that no tag searches the stack
         self._read(source)
 
     def _flush(self) -> None:
@@ -46,18 +47,20 @@ class Page:
 
     def _close(self, depth: int) -> None:
         self._flush()
+        for node in reversed(self._stack[depth:]):
+            self._where[self.tags[node]].pop()
         del self._stack[depth:]
         if self._link >= depth:
             self._link = -1
 
+    def _deepest(self, names: tuple[str, ...]) -> int:
+        """Depth of the innermost open element of these tags, 0 without one."""
+        return max((self._where[name][-1] for name in names if self._where.get(name)), default=0)
+
     def _close_last(self, names: tuple[str, ...], barriers: tuple[str, ...] = ()) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[depth]]
-            if tag in names:
-                return self._close(depth)
-            if tag in barriers or tag in ("table", "body"):
-                return None
-        return None
+        depth = self._deepest(names)
+        if depth > self._deepest((*barriers, "table", "body")):
+            self._close(depth)
 
     def _open(self, tag: str, raw: str, at: int) -> None:
         if tag in CLOSES_P:
@@ -79,11 +82,12 @@ class Page:
         self.orders.append(self.children[self._stack[-1]])
         self.children[self._stack[-1]] += 1
         if tag not in VOID:
+            self._where.setdefault(tag, []).append(len(self._stack))
             self._stack.append(len(self.tags) - 1)
 
     def _read(self, source: str) -> None:
         at, in_head = 0, False
-        lowered = None
+        lowered, unclosed = None, set()  # silent tags without a closing one further on are not looked for again
         while True:
             match = _TOKEN.search(source, at)
             if match is None:
@@ -99,12 +103,15 @@ class Page:
                 self.controls[self._stack[-1]] += tag in ("select", "button", "textarea")
                 if not closing and not raw.endswith("/"):
                     lowered = lowered or source.lower()
-                    if len(lowered) != len(source):  # lower-casing moved positions: look for the closing tag by pattern
+                    if tag in unclosed:
+                        stop = -1
+                    elif len(lowered) != len(source):  # lower-casing moved positions: look for the closing tag by pattern
                         end = re.compile(f"</{tag}", re.I).search(source, at)
                         stop = end.start() if end else -1
                     else:
                         stop = lowered.find(f"</{tag}", at)
                     if stop < 0:
+                        unclosed.add(tag)
                         at = len(source) if tag in ("script", "style", "title", "textarea") else at
                     else:
                         stop = source.find(">", stop)
@@ -117,11 +124,9 @@ class Page:
             if tag in BLOCKS:
                 in_head = in_head and tag == "html"
                 if closing:
-                    for depth in range(len(self._stack) - 1, 0, -1):
-                        if self.tags[self._stack[depth]] == tag:
-                            self._close(depth)
-                            break
-                elif tag not in ("html", "body") or tag not in self.tags:
+                    if depth := self._deepest((tag,)):
+                        self._close(depth)
+                elif tag not in ("html", "body") or tag not in self._where:
                     self._open(tag, raw, match.start())
             elif tag == "br":
                 self._text(" ")

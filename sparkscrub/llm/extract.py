@@ -6,8 +6,9 @@ is the most likely one in which nothing below a rejected node is kept, found bot
 
 There are no labelled pages, so training pages are made: of a bounded sample of pages the text below `article`, `main` (or else of the
 parent with most paragraph text) is taken as main text; it is set again into generated layouts with menus, banners, sidebars, notices, adverts,
-comments and forms filled with other pages' sentences, where the label of each node is known. The sample, `SAMPLE_PAGES` pages with the
-smallest hash of their id, is the only thing collected; extraction is row-local.
+comments and forms filled with other pages' sentences, where the label of each node is known. The sample is the only thing collected: of the
+`SAMPLE_PAGES` pages with the smallest hash of their id, whole pages in that order, each that still fits into `SAMPLE_CHARS` characters. If no
+page fits or none has text, layouts are filled with `STAND_IN`; there is always a model. Extraction is row-local.
 
 Null and empty pages have an empty text. Repeated rows are answered one by one. Nothing of the kept text is cut."""
 
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from .dom import Page
 
 SAMPLE_PAGES = 160
-SAMPLE_CHARS = 60_000
+SAMPLE_CHARS = 9_600_000
 LAYOUTS = 3
+#: Sentences for layouts where the sample has none.
+STAND_IN = ["The first rain of the year came late in the evening.", "Most of them had never seen the river so high, and they said so.", "A short note.",
+            "It took two days, four boats and a good deal of patience to bring the cattle over to the other side of the valley.", "Nobody was hurt.",
+            "Since then the bridge has been built again, wider than before, with stones from the old quarry and money from the town."]
 
 KINDS = [("p",), ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("table", "tbody", "tr"), ("td", "th"), ("div",),
          ("section",), ("article",), ("main",), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset"), ("html", "body", "#page"),
@@ -192,13 +197,13 @@ def decode(probability: np.ndarray, forest: Forest) -> np.ndarray:
     return kept
 
 
-def main_text(sources: list[str | None], model: Boosted | None) -> list[str]:
-    """The main text of every page; without a model all text counts as main text."""
+def main_text(sources: list[str | None], model: Boosted) -> list[str]:
+    """The main text of every page."""
     pages = [Page(s or "") for s in sources]
     if not pages:
         return []
     forest = features(pages, [len(s or "") for s in sources])
-    kept = decode(model.probability(forest.x), forest) if model else np.ones(len(forest.x), bool)
+    kept = decode(model.probability(forest.x), forest)
     return ["\n".join(text for node, text, _ in page.runs if kept[first + node]) for first, page in zip(forest.first, pages)]
 
 
@@ -253,8 +258,12 @@ def layout(blocks: list[tuple[str, str]], spare: list[str], rng: np.random.Gener
     share = lambda: f'<div class="{pick("share", "social", "share-buttons")}"><ul>{links(5)}</ul></div>'
 
     body = []
+    if blocks and rng.random() < 0.35:  # an article under a short heading
+        blocks = [(pick("h1", "h1", "h2"), " ".join(spare[rng.integers(len(spare))].split()[:int(rng.integers(1, 5))])), *blocks[blocks[0][0] in ("h1", "h2"):]]
     for k, (tag, text) in enumerate(blocks):
         body.append(f"<{tag}>{_escape(text)}</{tag}>")
+        if rng.random() < 0.1:  # a very short paragraph in bold type that nothing closes
+            body.append(f"<p><b>{_escape(text[:int(rng.integers(1, 12))])}<br>")
         if k and rng.random() < 0.06:
             body.append("</x>" + pick(advert, share, notice, side, form)() + "<x>")
     if rng.random() < 0.25:
@@ -308,47 +317,52 @@ def _labels(page: Page, inside: set[int]) -> np.ndarray:
 
 
 def training_rows(sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of the sample pages and of the layouts made from them."""
+    """Features and labels of the nodes of the sample pages and of the layouts made from them (of `STAND_IN` if no page has text)."""
     rng = np.random.default_rng(11)
-    pages = [(s, Page(s)) for s in sources]
-    inside = [_weak(p) for _, p in pages]
-    spare = [t for _, p in pages for _, t, _ in p.runs] or ["text"]
-    xs, ys = [], []
-    for (source, page), main in zip(pages, inside):
-        if not page.runs:
-            continue
-        made = [(source, page, main)]
-        blocks = [("p" if page.tags[node] not in ("h1", "h2", "h3", "h4", "li", "blockquote", "pre") else page.tags[node].replace("li", "p"), text)
-                  for node, text, _ in page.runs if node in main]
+    pages = [(s, page) for s in sources if (page := Page(s)).runs]
+    spare = [t for _, p in pages for _, t, _ in p.runs] or STAND_IN
+    made = [(source, page, _weak(page)) for source, page in pages]
+    contents = [[("p" if page.tags[node] not in ("h1", "h2", "h3", "h4", "blockquote", "pre") else page.tags[node], text)
+                 for node, text, _ in page.runs if node in main] for source, page, main in made]
+    if not any(contents):
+        some = lambda high: " ".join(STAND_IN[k] for k in rng.integers(0, len(STAND_IN), int(rng.integers(1, high))))
+        contents = [[("h1", some(3)), *(("p", some(int(rng.choice([2, 4, 40])))) for _ in range(int(rng.integers(1, 14))))] for _ in range(SAMPLE_PAGES)]
+    for blocks in contents:
         for _ in range(LAYOUTS if blocks else 0):
             first = int(rng.integers(0, max(1, len(blocks) // 2))) if rng.random() < 0.3 else 0
             own = blocks[first:first + int(rng.integers(1, 14))]
             source = layout(own, spare, rng)
             made.append((source, fresh := Page(source), _marked(fresh)))
-        for s, p, m in made:
-            xs.append(features([p], [len(s)]).x)
-            ys.append(_labels(p, m))
-    if not xs:
-        return np.zeros((0, FEATURES)), np.zeros(0)
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def fit(pages: DataFrame, limit: int = SAMPLE_PAGES) -> Boosted | None:
-    """Boosted trees from at most `limit` pages (of at most SAMPLE_CHARS characters, so the driver holds a bounded sample); None without any."""
-    spark = pages.sparkSession
-    sample = (pages.select("page_id", "html").filter(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").limit(limit).collect())
-    x, y = training_rows([r["html"] for r in sample])
-    if not len(y) or y.min() == y.max():
-        return None
+    return np.concatenate([features([p], [len(s)]).x for s, p, _ in made]), np.concatenate([_labels(p, m) for _, p, m in made])
+
+
+def sample_pages(pages: DataFrame, limit: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Whole pages in the order of their id's hash: of the first `limit` each that still fits into `chars` characters. Only those reach the driver."""
+    hashed = pages.select(F.xxhash64("page_id").alias("place"), F.length("html").alias("n"), "html").filter("n > 0")
+    chosen, room = [], chars
+    for r in sorted(set(map(tuple, hashed.select("place", "n").orderBy("place", "n").limit(limit).collect()))):
+        if r[1] <= room:
+            chosen.append(r)
+            room -= r[1]
+    if not chosen:
+        return []
+    wanted = pages.sparkSession.createDataFrame(chosen, "place long, n int")  # at most `limit` rows
+    rows = hashed.join(F.broadcast(wanted), ["place", "n"]).groupBy("place", "n").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(rows.collect())]
+
+
+def fit(pages: DataFrame, limit: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Boosted:
+    """Boosted trees from the sample and the layouts made from it."""
+    x, y = training_rows(sample_pages(pages, limit, chars))
     table = pa.table({"label": y, "x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))})
-    rows = spark.createDataFrame(table).select("label", array_to_vector("x").alias("features")).coalesce(1).persist()
+    rows = pages.sparkSession.createDataFrame(table).select("label", array_to_vector("x").alias("features")).coalesce(1).persist()
     model = Boosted.of(GBTClassifier(maxIter=16, maxDepth=5, stepSize=0.3, maxBins=32, seed=5, minInstancesPerNode=8).fit(rows))
     rows.unpersist()
     return model
 
 
-def extract(pages: DataFrame, model: Boosted | None) -> DataFrame:
-    """page_id, url, text, n_chars for every row of `pages`; without a model all text counts as main text."""
+def extract(pages: DataFrame, model: Boosted) -> DataFrame:
+    """page_id, url, text, n_chars for every row of `pages`."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

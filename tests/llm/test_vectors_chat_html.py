@@ -1,5 +1,8 @@
 import hashlib
+import html
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -148,3 +151,39 @@ def test_main_text_of_pages(spark):
     rows = extract.extract(pages, model).join(pages.select("page_id", "html"), "page_id").collect()
     inside = [r for r in rows if all(w in r.html.split("<article>")[1].split("</article>")[0].replace("&amp;", "&") for w in r.text.split("\n")[0].split()[:3])]
     assert len(inside) > 0.99 * len(rows)
+
+
+def _article(source: str) -> str:
+    """The article of a given page read by patterns alone: comments out, block tags cut, other tags dropped, references decoded."""
+    inner = re.sub(r"<!--.*?-->", "", source.split("<article>")[1].split("</article>")[0], flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|div|section|ul|ol|li|blockquote|pre|table|tr|td)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_every_block_of_every_page(spark):
+    """Whole table: each page's text is its article, all blocks of it and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = extract.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect()
+    assert len(rows) == pages.count() and [r.page_id for r in rows if r.text != _article(r.html)] == []
+
+
+def test_sample_of_long_pages_is_bounded_and_there_is_always_a_model(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    longer = pages.withColumn("html", F.concat("html", F.lit("<!--" + "x" * 70_000 + "-->")))
+    sample = extract.sample_pages(longer, 10, 300_000)
+    assert 1 <= len(sample) <= 4 and sum(map(len, sample)) <= 300_000 and extract.sample_pages(longer.union(longer), 10, 300_000) == sample
+    assert extract.sample_pages(longer, 10, 1000) == []
+    for chars in (300_000, 1000):  # four long pages, then none: layouts of the stand-in text
+        rows = extract.extract(longer, extract.fit(longer, 10, chars)).join(longer.select("page_id", "html"), "page_id").collect()
+        menus = [r.html.split("<nav>")[1].split("</a>")[0].split(">")[-1] for r in rows]
+        assert not [1 for r, menu in zip(rows, menus) if menu in r.text.split("\n")]
+        right = sum(r.text == _article(r.html) for r in rows)
+        assert right == len(rows) if chars > 1000 else right > len(rows) / 2
+
+
+def test_unmatched_tags_take_linear_time():
+    for source in ("<div></table>" * 80_000, "<td><p><td>" + "<ul>" * 60_000, "<noscript>x" * 90_000, "<li><div>" * 50_000):
+        start = time.process_time()
+        Page(source)
+        assert time.process_time() - start < 5
