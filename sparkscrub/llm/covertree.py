@@ -32,6 +32,8 @@ from .jaccard import Forest
 #: Vectors of a cell at most, and of the sample that a label's centres come from (about).
 CELL = 2048
 SAMPLE = 1024
+#: Vectors of a label that meet its centres in one task (about).
+SLICE = 8192
 _SLACK = 1e-9
 
 
@@ -199,27 +201,17 @@ def _net(rows: pd.DataFrame) -> pd.DataFrame:
     while len(chosen) < min(wanted, len(unit)) and far.max() > 1e-6:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, chord(unit @ unit[chosen[-1]]))
-    return pd.DataFrame({"space": rows["space"].iloc[0], "centre": [unit[c].tolist() for c in chosen]})
+    return pd.DataFrame({"space": rows["space"].iloc[0], "cell": range(len(chosen)), "centre": [unit[c].tolist() for c in chosen]})
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest of a label's centres and the distance to it."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        spaces = batch["space"].to_pylist()
-        cells, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-        unit = [np.frombuffer(v.as_buffer(), "<f8")[None, :] for v in batch["vector"]]
-        rows_of: dict[str, list[int]] = {}
-        for i, s in enumerate(spaces):
-            rows_of.setdefault(s, []).append(i)
-        for own in rows_of.values():
-            centres = np.array(batch["centres"][own[0]].as_py())
-            cosine = _unit(np.concatenate([unit[i] for i in own])) @ centres.T
-            cells[own] = cosine.argmax(1)
-            far[own] = chord(cosine.max(1))
-        yield pa.RecordBatch.from_arrays([batch["space"], batch["rep"], batch["copies"], batch["vector"], pa.array(cells), pa.array(far)],
-                                         names=["space", "rep", "copies", "vector", "cell", "far"])
+def _assign(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """The nearest centre of every vector of one slice of a label, and the distance to it."""
+    names = ["space", "rep", "copies", "vector", "cell", "far"]
+    if points.empty:
+        return points.reindex(columns=names)
+    centres = centres.sort_values("cell")
+    cosine = _unit(_vectors(points["vector"])) @ np.stack(centres["centre"].to_list()).T
+    return points.assign(cell=centres["cell"].to_numpy()[cosine.argmax(1)], far=chord(cosine.max(1)))[names]
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +242,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, cell: int = CELL, samp
     sizes = points.groupBy("space").agg(F.count("*").alias("size")).withColumn("cells", F.ceil(F.col("size") / (cell // 2)))
     share = F.pmod(F.xxhash64("print"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sampled = points.join(sizes, "space").filter(share <= F.lit(float(sample)) / F.col("size")).select("space", "rep", "vector", F.least("cells", F.lit(sample // 4)).alias("cells"))
-    centres = sampled.groupBy("space").applyInPandas(_net, "space string, centre array<double>").groupBy("space").agg(F.collect_list("centre").alias("centres"))
+    centres = sampled.groupBy("space").applyInPandas(_net, "space string, cell long, centre array<double>")
     middle = F.transform(F.sequence(F.lit(1), F.expr("octet_length(vector) div 8")), lambda i: F.lit(0.0))
-    lone = points.join(centres, "space", "left_anti").groupBy("space").agg(F.array(F.max(middle)).alias("centres"))  # the sample of a small label may be empty
-    centres = centres.union(lone)
-    placed = stored(points.join(centres, "space").select("space", "rep", "copies", "vector", "centres").mapInArrow(
+    lone = points.join(centres, "space", "left_anti").groupBy("space").agg(F.max(middle).alias("centre"))  # the sample of a small label may be empty
+    centres = stored(centres.union(lone.select("space", F.lit(0).cast("long"), "centre")), "centres")
+    # A label is dealt to slices of about SLICE vectors; each slice meets the label's centres once.
+    slices = sizes.select("space", F.ceil(F.col("size") / SLICE).cast("long").alias("slices"))
+    sliced = points.join(slices, "space").select("space", "rep", "copies", "vector", F.pmod(F.xxhash64("print"), F.col("slices")).alias("slice"))
+    met = centres.join(slices, "space").select("space", "cell", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    placed = stored(sliced.groupBy("space", "slice").cogroup(met.groupBy("space", "slice")).applyInPandas(
         _assign, "space string, rep long, copies long, vector binary, cell long, far double"), "placed")
     parts = placed.groupBy("space", "cell").agg(F.count("*").alias("size"), F.max("far").alias("radius"))
     parts = stored(parts.withColumn("parts", F.ceil(F.col("size") / cell).cast("long")), "cells")
-    cells = parts.join(centres.select("space", F.posexplode("centres").alias("cell", "centre")), ["space", "cell"])
+    cells = parts.join(centres, ["space", "cell"])
     blocks = cells.select("space", "cell", "centre", "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     other = blocks.select("space", *[F.col(c).alias(f"{c}2") for c in ("cell", "centre", "radius", "part")])
     apart = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))

@@ -48,6 +48,13 @@ def test_near_vectors(spark, cell, sample):
     assert sum(links) > 2000
 
 
+def test_slices_of_a_label_meet_the_same_centres(spark, monkeypatch):
+    given = spark.createDataFrame(vectors(5), "vec_id long, embedding array<float>, label int, space string")
+    whole = sorted(tuple(r) for r in covertree.near_vectors(given, 0.93, 40, 60).collect())
+    monkeypatch.setattr(covertree, "SLICE", 7)
+    assert sorted(tuple(r) for r in covertree.near_vectors(given, 0.93, 40, 60).collect()) == whole
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert covertree.near_vectors(empty).collect() == []
