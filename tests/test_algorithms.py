@@ -60,6 +60,32 @@ def test_rank_correlations(spark):
     assert stats.spearman(df, F.col("x"), F.col("y")) == pytest.approx(p["x"].corr(p["y"]))
 
 
+def test_all_rank_correlations_in_one_pass(spark, monkeypatch):
+    """Columns with ties, with gaps in different rows, without data, constant, and all values different; hot values; sliced running totals."""
+    import pandas as pd
+
+    draw = random.Random(11)
+    columns = {"hot": lambda: 0.0 if draw.random() < 0.4 else draw.random(), "ties": lambda: float(draw.randint(0, 4)), "other": draw.random,
+               "gap": lambda: draw.choice([None, draw.random()]), "gap2": lambda: draw.choice([None, -1.5, float(draw.randint(0, 9))]),
+               "flat": lambda: 3.0, "none": lambda: None, "zero": lambda: draw.choice([0.0, -0.0, 1.0])}
+    rows = [tuple(make() for make in columns.values()) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    frame = pd.DataFrame(rows, columns=list(columns), dtype=float)
+    monkeypatch.setattr(stats, "running_total", lambda *a: running_total(*a, limit=50))
+    got = stats.rank_correlations(df, {c: F.col(c) for c in columns})
+    assert len(got) == 28
+    for a, b, r in got:
+        want = frame[[a, b]].dropna().rank()
+        want = want[a].corr(want[b]) if len(want) >= 3 else float("nan")
+        assert r is None if want != want else r == pytest.approx(want), (a, b)
+    plain = {(r.columna_a, r.columna_b): r.correlacion for r in stats.correlation(df, {c: F.col(c) for c in columns}).collect()}
+    for (a, b), r in plain.items():
+        want = frame[[a, b]].dropna()
+        want = want[a].corr(want[b]) if len(want) >= 3 and want[a].nunique() > 1 and want[b].nunique() > 1 else None
+        assert r is None if want is None else r == pytest.approx(want, abs=1e-4), (a, b)
+    assert stats.rank_correlations(df.limit(0), {"hot": F.col("hot"), "gap": F.col("gap")}) == [("hot", "gap", None)]
+
+
 def test_leader_clusters_in_several_rounds(spark):
     words = list(dict.fromkeys("".join(rng.choice("abcde") for _ in range(rng.randint(4, 9))) for _ in range(150)))
     words += [w[:-1] + "z" for w in words[:40]]
