@@ -34,6 +34,8 @@ CELL = 2048
 SAMPLE = 1024
 #: Vectors of a label that meet its centres in one task (about).
 SLICE = 8192
+#: Two nodes with at most LEAF pairs of points are settled by those pairs' cosines.
+LEAF = 1 << 12
 _SLACK = 1e-9
 
 
@@ -110,6 +112,41 @@ def dual_links(a: CoverTree, b: CoverTree, same: bool, raw_a: np.ndarray, raw_b:
         if forest.join(x, y + shift):
             edges.append((x, y))
 
+    def exact(xs: np.ndarray, ys: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Cosines, those next to the threshold from the vectors themselves."""
+        near = np.abs(cosine - least) < 1e-9
+        if near.any():
+            x, y = raw_a[xs[near]], raw_b[ys[near]]
+            cosine[near] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+        return cosine
+
+    def settle(left: np.ndarray, right: np.ndarray, small: np.ndarray, own: bool) -> None:
+        """All pairs of points of the pairs of nodes marked in `small`: one product where these fill much of it, else pair by pair."""
+        rows, columns = np.flatnonzero(small.any(1)), np.flatnonzero(small.any(0))
+        m, n = left[rows], right[columns]
+        wanted = small[np.ix_(rows, columns)]
+        tall, wide = a.end[m] - a.start[m], b.end[n] - b.start[n]
+        if tall @ wanted @ wide * 8 >= tall.sum() * wide.sum():
+            blocks = [(np.arange(len(m)), np.arange(len(n)))]
+        else:
+            blocks = [(np.array([i]), np.flatnonzero(w)) for i, w in enumerate(wanted)]
+        for i, j in blocks:
+            node_x, node_y = np.repeat(i, tall[i]), np.repeat(j, wide[j])
+            xs = np.concatenate([a.order[a.start[k]:a.end[k]] for k in m[i]])
+            ys = np.concatenate([b.order[b.start[k]:b.end[k]] for k in n[j]])
+            cosine = a.unit[xs] @ b.unit[ys].T
+            x, y = np.nonzero(cosine >= least - 1e-9)
+            take = wanted[node_x[x], node_y[y]]
+            if own:  # points of one node: each pair once
+                take &= (rows[node_x[x]] != columns[node_y[y]]) | (xs[x] < ys[y])
+            x, y = x[take], y[take]
+            hit = exact(xs[x], ys[y], cosine[x, y]) >= least
+            x, y = xs[x[hit]], ys[y[hit]]
+            np.add.at(links_a, x, weight_b[y])
+            np.add.at(links_b, y, weight_a[x])
+            for p, q in zip(x.tolist(), y.tolist()):
+                link(p, q)
+
     stack = [(np.array([0]), np.array([0]), same)]
     while stack:
         left, right, own = stack.pop()
@@ -133,7 +170,11 @@ def dual_links(a: CoverTree, b: CoverTree, same: bool, raw_a: np.ndarray, raw_b:
                 links_b[y] += weight_a[x]
                 link(x, y)
         certain = maybe & ~single & (far + spread <= reach - _SLACK)
-        for i, j in np.argwhere(maybe & ~single):
+        open_ = maybe & ~single
+        small = open_ & ~certain & (size_a[:, None] * size_b[None, :] <= LEAF)
+        if small.any():
+            settle(left, right, small, own)
+        for i, j in np.argwhere(open_ & ~small):
             m, n = left[i], right[j]
             self_pair = own and i == j
             if certain[i, j] and not self_pair or self_pair and 2 * a.radius[m] <= reach - _SLACK:

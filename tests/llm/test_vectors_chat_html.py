@@ -194,3 +194,30 @@ def test_unmatched_tags_take_linear_time():
         start = time.process_time()
         Page(source)
         assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize("leaf", [1, 9, 400, 4096])
+@pytest.mark.parametrize("dim", [2, 8, 64])
+def test_dual_traversal_finds_every_link(monkeypatch, dim, leaf):
+    """Weighted link counts and the forest of one cell with itself and of two cells, against all cosines."""
+    monkeypatch.setattr(covertree, "LEAF", leaf)
+    rng = np.random.default_rng(dim)
+    for same in (True, False):
+        base = rng.normal(size=(6, dim))
+        cells = [base[rng.integers(6, size=k)] + rng.normal(size=(k, dim)) * rng.choice([0.01, 0.1, 0.4], size=(k, 1)) for k in (150, 110)]
+        a, b = (cells[0], cells[0]) if same else cells
+        weight_a = rng.integers(1, 4, len(a)).astype(float)
+        weight_b = weight_a if same else rng.integers(1, 4, len(b)).astype(float)
+        tree = covertree.tree_of(covertree._unit(a))
+        links_a, links_b, edges = covertree.dual_links(tree, tree if same else covertree.tree_of(covertree._unit(b)), same, a, b, weight_a, weight_b, 0.93)
+        hit = covertree._unit(a) @ covertree._unit(b).T >= 0.93
+        if same:
+            np.fill_diagonal(hit, False)
+        assert np.array_equal(links_a, hit @ weight_b) and (same or np.array_equal(links_b, hit.T @ weight_a))
+        linked, meant = Union(), Union()
+        name = lambda y: int(y) if same else f"b{int(y)}"
+        assert all(hit[x, y] for x, y in edges)
+        for union, pairs in ((linked, edges), (meant, np.argwhere(hit).tolist())):
+            for x, y in pairs:
+                union.join(*sorted((str(x), str(name(y)))))
+        assert all(linked.find(str(x)) == meant.find(str(x)) for x in range(len(a)))
