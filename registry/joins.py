@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkscrub.operators import actions, detect, joins, model, stats
+from sparkscrub.operators import actions, detect, joins, keypairs, model, stats
 from sparkscrub.operators.dictionary import Dictionary, treatments_from_log
 from sparkscrub.operators.rows import ROW_ID, with_row_id
 from sparkscrub.plans.profile import Profile
@@ -22,17 +22,21 @@ def pair(spark, sf):
 
 
 # -- joins --------------------------------------------------------------------------------------------------------
-@query("jn_01_suggest_keys", """
-WITH s AS (SELECT 'o_custkey' AS columna_a, 'c_custkey' AS columna_b, (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON o_custkey = c_custkey) AS comunes,
-  (SELECT least(count(DISTINCT o_custkey), (SELECT count(DISTINCT c_custkey) FROM customer)) FROM orders) AS base
-UNION ALL SELECT 'o_orderkey', 'c_custkey', (SELECT count(DISTINCT o_orderkey) FROM orders JOIN customer ON o_orderkey = c_custkey),
-  (SELECT least(count(DISTINCT o_orderkey), (SELECT count(DISTINCT c_custkey) FROM customer)) FROM orders)
-UNION ALL SELECT 'o_custkey', 'c_nationkey', (SELECT count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_custkey = c_nationkey), 25
-UNION ALL SELECT 'o_orderkey', 'c_nationkey', (SELECT count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_orderkey = c_nationkey), 25)
-SELECT columna_a, columna_b, false AS mismo_nombre, round(comunes * 100.0 / base, 1) AS coincidencia_pct FROM s""")
-def _(spark, sf):
-    a = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return joins.suggest_keys(a, table(spark, sf, "customer"))
+def _keys_of(name: str) -> str:
+    return rf"""SELECT DISTINCT columna, CASE WHEN regexp_full_match(k, '\d+') THEN regexp_replace(k, '^0+(\d)', '\1') ELSE k END AS k
+  FROM (SELECT columna, regexp_replace(lower(trim(v)), '\.0$', '') AS k FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {name}) ON COLUMNS(*) INTO NAME columna VALUE v))
+  WHERE k <> ''"""
+
+
+@query("jn_01_suggest_keys", f"""
+WITH a AS ({_keys_of("orders")}), b AS ({_keys_of("customer")}),
+size_a AS (SELECT columna, count(*) AS n FROM a GROUP BY columna), size_b AS (SELECT columna, count(*) AS n FROM b GROUP BY columna),
+both_sides AS (SELECT a.columna AS columna_a, b.columna AS columna_b, count(*) AS comunes FROM a JOIN b USING (k) GROUP BY ALL)
+SELECT columna_a, columna_b, false AS mismo_nombre, round(comunes * 100.0 / least(x.n, y.n), 1) AS coincidencia_pct
+FROM both_sides JOIN size_a x ON x.columna = columna_a JOIN size_b y ON y.columna = columna_b
+WHERE least(x.n, y.n) >= 2 AND comunes * 100.0 / least(x.n, y.n) >= 30""")
+def _(spark, sf):
+    return keypairs.suggest_keys(table(spark, sf, "orders"), table(spark, sf, "customer"))
 
 
 @query("jn_02_code_width", """
