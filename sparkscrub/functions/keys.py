@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze, strip
+from .text import let, squeeze, strip
 
 _EMPTY_KEYS = ("", "nan", "none", "null")
 
@@ -27,6 +27,7 @@ def normalize_key(c: Column, mode: str = "texto", width: int = 0) -> Column:
 
 def flexible_key(c: Column) -> Column:
     """FN-18: very tolerant form, only to suggest keys."""
-    s = F.regexp_replace(F.lower(strip(c.cast("string"))), r"\.0$", "")
-    s = F.when(s.rlike(r"^\d+$"), F.regexp_replace(s, r"^0+(?=\d)", "")).otherwise(s)
-    return F.when(s != "", s)
+    def shape(s: Column) -> Column:
+        return F.when(s == "", None).when(s.rlike(r"^\d+$"), F.regexp_replace(s, r"^0+(?=\d)", "")).otherwise(s)
+
+    return let(F.regexp_replace(F.lower(strip(c.cast("string"))), r"\.0$", ""), shape)

@@ -1,9 +1,10 @@
-"""Which columns of two tables may join: containment measured on samples of keys, and counted exactly where it decides.
+"""Which columns of two tables may join: containment measured on samples of keys, and counted on all keys where that decides.
 
-A column with many keys is sampled by hash: its keys whose 64-bit hash lies below a bound, chosen so that about SAMPLE of them remain. The
-bound depends on the key alone, so the sample is even over the distinct keys whatever their frequencies, and partial samples merge by union.
-A column with few keys is its own sample. One scan of the other table looks its cells up in the samples; what is shuffled are the hits
-and, per task, at most SAMPLE keys a column. Only pairs of two large columns that may reach the wanted share are then counted on all keys."""
+Keys are worked out once per cell and written as 64-bit hashes; everything after that reads these. A column with many keys is sampled by
+hash: its keys whose hash lies below a bound, chosen so that about SAMPLE of them remain. The bound depends on the key alone, so the sample
+is even over the distinct keys whatever their frequencies, and partial samples merge by union. A column with few keys is its own sample.
+One scan of the other table's hashes looks them up in the samples; what is shuffled are the hits and, per task, at most about SAMPLE keys a
+column. Only pairs of two large columns that may reach the wanted share are then counted on all keys."""
 
 from __future__ import annotations
 
@@ -25,7 +26,6 @@ WANTED = 30.0
 #: Sampled keys of one side (12 bytes each) up to which they are broadcast.
 BROADCAST_KEYS = 2_000_000
 _SCHEMA = "columna_a string, columna_b string, mismo_nombre boolean, coincidencia_pct double"
-_LOWEST = -(1 << 63)
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -40,29 +40,31 @@ class Side:
     def __init__(self, df: DataFrame, sample: int):
         self.df = df
         self.columns = [f.name for f in df.schema.fields if is_flat(f.dataType)]
-        self.keys = [flexible_key(as_text(df, c)) for c in self.columns]
-        hashes = [F.when(k.isNotNull(), F.xxhash64(k)) for k in self.keys]
-        about = df.agg(*[F.approx_count_distinct(h).alias(f"n{i}") for i, h in enumerate(hashes)]).first()
-        self.whole = [n <= sample for n in about]
-        bounds = [None if n <= sample else _LOWEST + int(sample / n * 2.0**64) for n in about]
-        self.hashes = hashes
-        kept = [h if b is None else F.when(h < b, h) for h, b in zip(hashes, bounds)]
+        positions = range(len(self.columns))
+        self.hashed = self._written(self._cells().select("pos", F.xxhash64("k").alias("h")))
+        about = dict.fromkeys(positions, 0) | {r["pos"]: r["n"] for r in self.hashed.groupBy("pos").agg(F.approx_count_distinct("h").alias("n")).collect()}
+        self.whole = [about[i] <= sample for i in positions]
+        bounds = F.array(*[F.lit((1 << 63) - 1 if self.whole[i] else -(1 << 63) + int(sample / about[i] * 2.0**64)).cast("long") for i in positions])
+        self.sampled = self._written(self.hashed.filter(F.col("h") <= F.get(bounds, F.col("pos"))).distinct())
+        self.sizes = dict.fromkeys(positions, 0) | {r["pos"]: r["n"] for r in self.sampled.groupBy("pos").agg(F.count("*").alias("n")).collect()}
+
+    def _written(self, df: DataFrame) -> DataFrame:
         spark, path = df.sparkSession, fresh_path(df.sparkSession, "llaves")
-        self.cells(kept).distinct().write.parquet(path)
-        self.sampled = spark.read.schema("pos int, h long").parquet(path)
-        self.sizes = dict.fromkeys(range(len(self.columns)), 0) | {r["pos"]: r["n"] for r in self.sampled.groupBy("pos").agg(F.count("*").alias("n")).collect()}
+        df.write.parquet(path)
+        return spark.read.schema("pos int, h long").parquet(path)
 
-    def cells(self, values: list[Column]) -> DataFrame:
-        """(pos, h) of every cell with a value."""
-        found = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(i).alias("pos"), v.alias("h"))) for i, v in enumerate(values)]))
-        return self.df.select(F.explode(found).alias("x")).select("x.*")
+    def _cells(self) -> DataFrame:
+        """(pos, k): the key of every cell that has one. Cells become rows first, so the key is one expression, which the filter does not repeat."""
+        texts = F.array(*[F.struct(F.lit(i).alias("pos"), as_text(self.df, c).alias("t")) for i, c in enumerate(self.columns)])
+        long = self.df.select(F.explode(texts).alias("x")).select("x.*").filter("t is not null")
+        return long.select("pos", F.explode(F.array(flexible_key(F.col("t")))).alias("k")).filter("k is not null")
 
 
 def _hits(sampled: Side, other: Side) -> dict[tuple[int, int], int]:
     """How many sampled keys of each column of one side occur in each column of the other (one row per pair of columns)."""
     side = sampled.sampled.withColumnRenamed("pos", "s")
     side = F.broadcast(side) if sum(sampled.sizes.values()) <= BROADCAST_KEYS else side
-    met = other.cells(other.hashes).join(side, "h").select("s", "pos", "h").distinct()
+    met = other.hashed.join(side, "h").select("s", "pos", "h").distinct()
     return {(r["s"], r["pos"]): r["n"] for r in met.groupBy("s", "pos").agg(F.count("*").alias("n")).collect()}
 
 
@@ -70,8 +72,7 @@ def _exact(a: Side, b: Side, pairs: list[tuple[int, int]]) -> tuple[dict, dict,
     """Keys of each named column and keys that each pair shares, over all rows. Cells become distinct (column, key) pairs, grouped by key
     into the set of columns holding it, so a frequent key is one row and no pair of rows is formed."""
     def by_key(side: Side, wanted: set[int], name: str) -> tuple[DataFrame, dict]:
-        distinct = side.cells([k if i in wanted else F.lit(None).cast("string") for i, k in enumerate(side.keys)]).distinct()
-        sets = distinct.groupBy("h").agg(F.collect_set("pos").alias(name))  # at most one per column
+        sets = side.hashed.filter(F.col("pos").isin(*wanted)).distinct().groupBy("h").agg(F.collect_set("pos").alias(name))  # at most one per column
         sizes = {r["pos"]: r["n"] for r in sets.select(F.explode(name).alias("pos")).groupBy("pos").agg(F.count("*").alias("n")).collect()}
         return sets, sizes
 
@@ -84,7 +85,7 @@ def _exact(a: Side, b: Side, pairs: list[tuple[int, int]]) -> tuple[dict, dict,
 def shared_keys(a: DataFrame, b: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str, bool, float, int, int]]:
     """(column of A, column of B, same name, share, position in A, position in B) of every pair of columns that shares at least WANTED
     percent of the keys of the smaller column, or a name and any key. Columns with fewer than two keys are left out; null and blank
-    cells are no keys. Shares are exact (to a collision of 64-bit hashes where one column has few keys)."""
+    cells are no keys. Shares count all keys, told apart by 64-bit hashes."""
     if not all(any(is_flat(f.dataType) for f in df.schema.fields) for df in (a, b)):
         return []
     left, right = Side(a, sample), Side(b, sample)
