@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import slices, tidy
 from .encoder import encoder
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Characters given to the tokenizer at once; a longer text goes alone.
+#: Characters given to the tokenizer at once where texts are needed as Python strings; a longer text goes alone.
 BATCH_CHARS = 1 << 20
+#: Bytes of text encoded at once.
+BATCH_BYTES = 1 << 22
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -50,12 +53,12 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for batch in batches:
-            for first, texts in runs(batch["text"]):
-                flat, cuts, _, _ = model.encode(texts)
+            for first, end, data, bounds in slices(batch["text"], BATCH_BYTES):
+                flat, cuts, _, _ = model.encode_bytes(data, bounds)
                 if end_id is not None:
                     flat, cuts = np.insert(flat, cuts[1:], end_id), cuts + np.arange(len(cuts))
                 ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(texts)), pa.array(np.diff(cuts), pa.int64()), ids],
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, end - first), pa.array(np.diff(cuts), pa.int64()), ids],
                                                  names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")

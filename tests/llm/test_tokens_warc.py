@@ -27,6 +27,29 @@ def test_encoder_gives_the_library_ids(texts):
         assert list(zip(low[own].tolist(), high[own].tolist())) == e.offsets
 
 
+WIDE = [*"ab Éɏ'-.,×÷µ!  \n\t\x0b\u0301\xa0\u1680\u2003\u200b\u2028\u202f\u205f\u3000\u180e“…中ー한Я١", "'ll", "<|endoftext|>", "\x1f"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WIDE), max_size=30).map("".join), max_size=4))
+def test_pieces_are_cut_where_the_library_cuts(texts):
+    ids, cuts, low, high = KEPT.encode(texts)
+    for k, e in enumerate(MODEL.encode_batch(texts, add_special_tokens=False)):
+        own = slice(cuts[k], cuts[k + 1])
+        assert ids[own].tolist() == e.ids
+        assert list(zip(low[own].tolist(), high[own].tolist())) == e.offsets
+
+
+def test_a_repeated_piece_is_looked_up_once_a_batch(monkeypatch):
+    """The cost of a batch follows its distinct pieces; each occurrence was looked up before."""
+    asked, model, find = [], Encoder(PATH), encoder.Memory.find
+    monkeypatch.setattr(encoder.Memory, "find", lambda memory, pieces: (asked.append(len(pieces)), find(memory, pieces))[1])
+    texts = ["again and again, " * 1000, "", "again"]
+    ids, cuts, _, _ = model.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [e.ids for e in MODEL.encode_batch(texts, add_special_tokens=False)]
+    assert max(asked) == 5  # "again", " and", " again", "," and the last blank
+
+
 def test_memory_keeps_frequent_pieces(monkeypatch):
     """Generations change many times; ids stay those of the library, and a piece met in every batch is encoded once."""
     monkeypatch.setattr(encoder, "REMEMBERED", 50)
