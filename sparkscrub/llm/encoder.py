@@ -4,7 +4,8 @@ Byte-level tokenizers with the usual split (no normalizer, no added prefix space
 look at nothing to the left; nor do they join a letter and a mark after it. So a text may be cut before every ASCII white space that follows
 a character other than white space, and between a Latin letter and an ASCII mark, and equal pieces have equal ids wherever they stand. The
 cuts are found on the bytes of all texts of a batch at once, and Arrow finds the batch's distinct pieces and those already remembered, so
-that only new pieces become Python strings. Pieces are encoded once by the library and remembered in two generations: a piece met again
+that only new pieces become Python strings. New pieces that begin with a space and end without one are read by the library as one text, which
+may be cut between them; the bytes of its ids tell where. Pieces are encoded once by the library and remembered in two generations: a piece met again
 moves to the young one, and when that is full the old one is given up, so frequent pieces stay. Texts with separator control characters (on which definitions of white space differ),
 texts that hold one of the tokenizer's added tokens (such as its end-of-text mark, which the library reads as that token) and all texts of
 other tokenizers are encoded whole. Either way the ids are those of the library's plain call on the whole text."""
@@ -100,24 +101,54 @@ class Encoder:
         self.by_piece = bool(parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
                          and parts["truncation"] is None and parts["post_processor"] is None)
         self.added = [t["content"].encode() for t in parts["added_tokens"]]
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id: a byte-level token has a character a byte
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         self.young, self.old = Memory(offsets), Memory(offsets)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many of them as the words of one input, and remember them."""
+        """Encode new pieces, many of them in one input, and remember them."""
+        named, chars = pa.array(pieces, pa.large_string()), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        parts: list[tuple] = []  # (ids, piece of each, spans)
         if self.by_piece:
-            groups = [pieces[i:i + LEARNT_AT_ONCE] for i in range(0, len(pieces), LEARNT_AT_ONCE)]
-            done = self.model.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
-            piece = np.concatenate([np.array(e.word_ids, np.int64) + k * LEARNT_AT_ONCE for k, e in enumerate(done)])
+            loose = [p[0] in " \t\n\r\v\f" and not p[-1].isspace() for p in pieces]
+            rest = self._joined(pieces, np.flatnonzero(loose), pc.binary_length(named).to_numpy(), chars, parts)
+            at = np.r_[np.flatnonzero(~np.array(loose, bool)), rest].astype(np.int64)
+            groups = [at[i:i + LEARNT_AT_ONCE] for i in range(0, len(at), LEARNT_AT_ONCE)]
+            words = self.model.encode_batch([[pieces[i] for i in g] for g in groups], is_pretokenized=True, add_special_tokens=False)
+            parts += [(e.ids, g[np.array(e.word_ids, np.int64)], e.offsets if self.offsets else []) for g, e in zip(groups, words)]
         else:
-            done = self.model.encode_batch(pieces, add_special_tokens=False)
-            piece = np.repeat(np.arange(len(pieces)), [len(e.ids) for e in done])
-        ids = np.array(list(chain.from_iterable(e.ids for e in done)), np.int32)
+            texts = self.model.encode_batch(pieces, add_special_tokens=False)
+            parts += [(e.ids, np.full(len(e.ids), i), e.offsets if self.offsets else []) for i, e in enumerate(texts)]
+        piece = np.concatenate([p for _, p, _ in parts])
+        order = np.argsort(piece, kind="stable")
+        ids = np.concatenate([np.asarray(i, np.int32) for i, _, _ in parts])[order]
         low = high = None
         if self.offsets:
-            spans = np.array(list(chain.from_iterable(e.offsets for e in done)), np.int64).reshape(-1, 2)
-            low, high = spans[:, 0], spans[:, 1]
-        chars = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.young.add(pa.array(pieces, pa.large_string()), np.bincount(piece, minlength=len(pieces)), chars, ids, low, high)
+            low, high = np.concatenate([np.asarray(x, np.int64).reshape(-1, 2) for _, _, x in parts])[order].T
+        self.young.add(named, np.bincount(piece, minlength=len(pieces)), chars, ids, low, high)
+
+    def _joined(self, pieces: list[str], at: np.ndarray, size: np.ndarray, chars: np.ndarray, parts: list[tuple]) -> list[int]:
+        """Encode the pieces at these places, many as one text, into `parts`; the places of those that must be encoded apart."""
+        groups, texts, rest = [], [], []
+        for i in range(0, len(at), LEARNT_AT_ONCE):
+            own = at[i:i + LEARNT_AT_ONCE]
+            text = "".join([pieces[k] for k in own])
+            if self._whole(text.encode()):
+                rest += own.tolist()
+            else:
+                groups.append(own)
+                texts.append(text)
+        read = self.model.encode_batch if self.offsets else self.model.encode_batch_fast  # the latter gives no spans
+        for own, e in zip(groups, read(texts, add_special_tokens=False)):
+            ends, stops, ids = np.cumsum(size[own]), np.cumsum(chars[own]), np.array(e.ids, np.int64)
+            last = np.cumsum(self.width[ids])
+            if not len(last) or last[-1] != ends[-1]:  # a vocabulary that lacks bytes
+                rest += own.tolist()
+                continue
+            k = np.searchsorted(ends, last)
+            parts.append((ids, own[k], np.array(e.offsets, np.int64).reshape(-1, 2) - (stops - chars[own])[k][:, None] if self.offsets else []))
+        return rest
 
     def _recall(self, pieces: pa.Array) -> np.ndarray:
         """Bring pieces into the young memory, from the old one, else from the library; their rows there."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from sparkscrub.llm import attribution, encoder, tokens, warc
 from sparkscrub.llm.encoder import Encoder
@@ -14,7 +14,7 @@ from sparkscrub.session import fresh_path
 
 PATH = tokens.default_path()
 MODEL = Tokenizer.from_file(PATH)
-KEPT = Encoder(PATH, offsets=True)
+KEPT, PLAIN = Encoder(PATH, offsets=True), Encoder(PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -38,6 +38,21 @@ def test_pieces_are_cut_where_the_library_cuts(texts):
         own = slice(cuts[k], cuts[k + 1])
         assert ids[own].tolist() == e.ids
         assert list(zip(low[own].tolist(), high[own].tolist())) == e.offsets
+    plain, ends, _, _ = PLAIN.encode(texts)
+    assert plain.tolist() == ids.tolist() and ends.tolist() == cuts.tolist()
+
+
+def test_a_vocabulary_without_some_bytes(tmp_path):
+    """Such a tokenizer drops what it does not know; new pieces read as one text cannot be told apart by the bytes of their ids."""
+    own = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "Ġa": 3}, merges=[("Ġ", "a")]))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "few.json"))
+    texts = ["a ab xb axa", " a x  bé, a", "x"]
+    for offsets in (False, True):
+        ids, cuts, low, high = Encoder(str(tmp_path / "few.json"), offsets).encode(texts)
+        want = own.encode_batch(texts, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [e.ids for e in want]
+        assert not offsets or [*zip(low.tolist(), high.tolist())] == [x for e in want for x in e.offsets]
 
 
 def test_a_repeated_piece_is_looked_up_once_a_batch(monkeypatch):
