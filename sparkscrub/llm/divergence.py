@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,11 +98,11 @@ def _share(count, total):
 def _block_sums(block: pa.Table) -> pa.Table:
     """Partial sums of all ordered pairs of sources; rows without a term introduce the sources."""
     lang = block["lang"][0]
-    known = block.filter(pa.compute.is_null(block["term"]))
-    held = block.filter(pa.compute.is_valid(block["term"]))
+    known = block.filter(pc.is_null(block["term"]))
+    held = block.filter(pc.is_valid(block["term"]))
     names = known["source"].combine_chunks()
     total = known["n"].to_numpy() + known["v"].to_numpy()
-    row = pa.compute.index_in(held["source"].combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+    row = pc.index_in(held["source"].combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
     words = held["term"].combine_chunks().dictionary_encode()
     counts = np.zeros((len(names), len(words.dictionary)), dtype=np.int64)
     counts[row, words.indices.to_numpy()] = held["n"].to_numpy()

@@ -1,8 +1,12 @@
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkscrub.llm import divergence
@@ -59,6 +63,27 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert divergence.audit(docs.limit(0)).collect() == []
 
 
+FRESH = """
+import sys
+import pyarrow as pa
+from sparkscrub.llm import divergence
+block = pa.ipc.open_stream(sys.stdin.buffer).read_all()
+print(sorted(tuple(row.values()) for row in divergence._block_sums(block).to_pylist()))
+"""
+
+
+def test_block_sums_in_a_fresh_worker():
+    """Idle workers end after a minute, and a new one has not counted terms: the block comes as a stream, as making arrays here would load more of Arrow."""
+    columns = {"lang": ["en"] * 4, "source": ["a", "b", "a", "b"], "term": [None, None, "x", "y"], "n": [2, 5, 2, 5], "v": [2, 2, 0, 0]}
+    block, sink = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema) as out:
+        out.write_table(block)
+    p, q = [1 + 10**9 * n // 4 for n in (3, 1)], [1 + 10**9 * n // 7 for n in (1, 6)]
+    want = [("en", s, t, sum((x - y) ** 2 // y for x, y in zip(own, other))) for s, t, own, other in (("a", "b", p, q), ("b", "a", q, p))]
+    run = subprocess.run([sys.executable, "-c", FRESH], cwd=Path(__file__).parents[2], input=sink.getvalue().to_pybytes(), capture_output=True, timeout=120)
+    assert run.stdout.decode().strip() == str(want), run.stderr.decode()
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = " ".join(["Alpha", "be-ta", "é" * 50] * 400).encode()
     whole = divergence.terms(text)
